@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,22 +18,23 @@ def findings(
 ) -> DataFrame:
     """One row per finding: rule_id, category, record_key and, as JSON, details.
 
-    Checks of single rows share one scan per table; every other check runs its own
-    plan, unsorted. ``details=False`` leaves the JSON out.
+    Checks of single rows share one pass over their source; every other check runs
+    its own plan, unsorted. ``details=False`` leaves the JSON out.
     """
     chosen = list(RULES.values()) if rule_ids is None else [RULES[rule_id] for rule_id in rule_ids]
     if not chosen:
         raise ValueError("no rules chosen")
-    by_table: dict[str, list[RowRule]] = {}
+    by_source: dict[str, list[RowRule]] = {}
     parts = []
     for found in chosen:
         if isinstance(found, RowRule):
-            by_table.setdefault(found.tables[0], []).append(found)
+            by_source.setdefault(found.source.name, []).append(found)
         else:
             rows = found.run(tables, as_of, ordered=False)
-            parts.append(rows.select(*_finding(found, [F.col(f"`{name}`").alias(name) for name in rows.columns], details)))
-    parts += [_one_scan(tables[table], rules, as_of, details) for table, rules in by_table.items()]
-    return reduce(DataFrame.unionByName, parts)
+            key = [F.col(name) for name in found.key]
+            parts.append(rows.select(*_finding(found, key, rows.columns if details else None)))
+    parts += [_one_pass(rules, tables, as_of, details) for rules in by_source.values()]
+    return _union(parts)
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -40,19 +42,35 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id", "category").agg(F.count("*").alias("findings"))
 
 
-def _finding(found: Rule, columns: list[Column], details: bool) -> list[Column]:
-    shown = F.struct(*columns)
-    key = [F.coalesce(shown[name].cast("string"), F.lit("")) for name in found.key]
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """All rows of the parts. Joined in halves: each union checks its whole plan
+    again, which a chain would do once per part."""
+    if len(parts) == 1:
+        return parts[0]
+    half = len(parts) // 2
+    return _union(parts[:half]).unionAll(_union(parts[half:]))
+
+
+def _finding(found: Rule, key: list[Column], shown: list[Column | str] | None) -> list[Column]:
+    """The columns of a finding, given the key and, if wanted, the shown columns."""
+    texts = [F.coalesce(part.cast("string"), F.lit("")) for part in key]
     finding = [
         F.lit(found.rule_id).alias("rule_id"),
         F.lit(found.category).alias("category"),
-        F.concat_ws("|", *key).alias("record_key"),
+        F.concat_ws("|", *texts).alias("record_key"),
     ]
-    if details:
-        finding.append(F.to_json(shown, {"ignoreNullFields": "false"}).alias("details"))
+    if shown is not None:
+        finding.append(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("details"))
     return finding
 
 
-def _one_scan(table: DataFrame, rules: list[RowRule], as_of: AsOf, details: bool) -> DataFrame:
-    hits = [F.when(r.where(as_of), F.struct(*_finding(r, r.columns(as_of), details))) for r in rules]
-    return table.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.*")
+def _one_pass(rules: list[RowRule], tables: TableMap, as_of: AsOf, details: bool) -> DataFrame:
+    """Findings of rules with one source. Rows that break none are filtered out
+    first, since Spark can move parts of that condition below the source's joins."""
+    conditions = [found.where(as_of) for found in rules]
+    hits = []
+    for found, holds in zip(rules, conditions):
+        finding = _finding(found, found.key_columns(as_of), found.columns(as_of) if details else None)
+        hits.append(F.when(holds, F.struct(*finding)))
+    rows = rules[0].source.rows(tables).filter(reduce(or_, conditions))
+    return rows.select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.*")

@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, blank, days_since, is_missing, months_before, or_zero
-from ..operators import attach, cardinality, compare, duplicates, missing, orphans, stale, status_conflict
-from .bom import inactive_parents, made_without_bom
+from ..operators import attach, cardinality, duplicates, orphans, stale
+from .bom import BOM_HEADERS, made_without_bom
 from .constants import BOUGHT, IDLE_ITEM_MONTHS, IDLE_MOVEMENT_MONTHS, NO, NO_BARCODE, SHORTEST_NAME, YES
-from .rule import DUPLICATE, INCONSISTENT, INTEGRITY, INVALID, MISSING, TableMap, row_rule, rule
+from .rule import DUPLICATE, INCONSISTENT, INVALID, MISSING, Source, TableMap, row_rule, rule
 
 ITEM = ("ItemCode", "ItemName")
 
 
-def levels_by_warehouse(t: TableMap, stock: DataFrame) -> DataFrame:
-    """Warehouse rows of existing items, with the item's name and the stock levels."""
-    return attach(stock, t["OITM"], {"ItemCode": "ItemCode"}, "inner", ItemName="ItemName").select(
-        *ITEM, "WhsCode", "MinLevel", "MaxLevel"
-    )
+def warehouse_stock(t: TableMap) -> DataFrame:
+    return attach(t["OITW"], t["OITM"], {"ItemCode": "ItemCode"}, "inner", ItemName="ItemName", validFor="validFor")
+
+
+# Stock by warehouse with the item.
+WAREHOUSE_STOCK = Source("warehouse stock", ("OITW", "OITM"), warehouse_stock)
 
 
 row_rule("ITM-01", MISSING, "Items without an inventory unit", "OITM", lambda as_of: blank("InvntryUom"), (*ITEM, "InvntryUom"))
@@ -69,22 +70,22 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     return made_without_bom(t).select(*ITEM)
 
 
-@rule("ITM-10", INCONSISTENT, "Bought items with a bill of materials", "OITM OITT", "ItemCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return status_conflict(
-        t["OITT"].select("Code"), t["OITM"], {"Code": "ItemCode"}, F.col("PrcrmntMtd") == BOUGHT, ItemName="ItemName"
-    ).select(F.col("Code").alias("ItemCode"), "ItemName")
-
-
-@rule("ITM-11", MISSING, "Warehouse stock without a minimum or maximum level", "OITM OITW", "ItemCode WhsCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return levels_by_warehouse(t, missing(t["OITW"], "MinLevel", "MaxLevel", kind="zero"))
-
+row_rule(
+    "ITM-10", INCONSISTENT, "Bought items with a bill of materials", BOM_HEADERS,
+    lambda as_of: F.col("PrcrmntMtd") == BOUGHT, (("ItemCode", "Code"), "ItemName"),
+)
 
-@rule("ITM-12", INCONSISTENT, "Minimum level above the maximum", "OITM OITW", "ItemCode WhsCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return levels_by_warehouse(t, compare(t["OITW"], F.col("MinLevel") > F.col("MaxLevel")))
+row_rule(
+    "ITM-11", MISSING, "Warehouse stock without a minimum or maximum level", WAREHOUSE_STOCK,
+    lambda as_of: is_missing("MinLevel", "MaxLevel", kind="zero"),
+    (*ITEM, "WhsCode", "MinLevel", "MaxLevel"), key="ItemCode WhsCode",
+)
 
+row_rule(
+    "ITM-12", INCONSISTENT, "Minimum level above the maximum", WAREHOUSE_STOCK,
+    lambda as_of: F.col("MinLevel") > F.col("MaxLevel"),
+    (*ITEM, "WhsCode", "MinLevel", "MaxLevel"), key="ItemCode WhsCode",
+)
 
 row_rule(
     "ITM-13", INVALID, "Inactive items", "OITM",
@@ -121,11 +122,10 @@ row_rule(
 )
 
 
-@rule("ITM-19", INVALID, "Inactive parents of bills of materials", "OITT OITM", "CodeParent")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return inactive_parents(t).select(
-        F.col("Code").alias("CodeParent"), F.col("ParentName").alias("ItemName"), F.col("validFor").alias("ValidFor")
-    )
+row_rule(
+    "ITM-19", INVALID, "Inactive parents of bills of materials", BOM_HEADERS,
+    lambda as_of: F.col("validFor") == NO, (("CodeParent", "Code"), "ItemName", ("ValidFor", "validFor")),
+)
 
 
 @rule("ITM-20", INCONSISTENT, "Items without a stock movement for a year", "OITM OINM", "ItemCode")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import AsOf, blank, difference, is_missing, unset, zero
-from ..operators import attach, compare, missing
-from .constants import MADE, NO, PRICE_RISE, PURCHASED, SUPPLIER, YES
-from .rule import INCONSISTENT, MISSING, TableMap, row_rule, rule
+from ..functions import blank, difference, is_missing, unset, zero
+from .constants import MADE, PRICE_RISE, PURCHASED, SUPPLIER, YES
+from .rule import INCONSISTENT, MISSING, row_rule
+from .suppliers import ITEMS_WITH_SUPPLIER
 
 
 def purchased() -> Column:
@@ -20,19 +20,12 @@ def active_supplier() -> Column:
     return (F.col("CardType") == SUPPLIER) & (F.col("validFor") == YES)
 
 
-def with_supplier(items: DataFrame, t: TableMap) -> DataFrame:
-    """Items with the name of their default supplier, if known."""
-    return attach(items, t["OCRD"], {"CardCode": "CardCode"}, CardName="CardName").withColumnRenamed(
-        "CardCode", "FournisseurPrincipal"
-    )
-
-
-@rule("PUR-01", MISSING, "Purchased items with their default supplier", "OITM OCRD", "ItemCode FournisseurPrincipal")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    # Titled as missing purchase price, but the rule tests no price.
-    items = t["OITM"].filter(purchased() & F.col("CardCode").isNotNull())
-    return with_supplier(items, t).select("ItemCode", "ItemName", "FournisseurPrincipal", "CardName")
-
+# Titled as missing purchase price, but the rule tests no price.
+row_rule(
+    "PUR-01", MISSING, "Purchased items with their default supplier", ITEMS_WITH_SUPPLIER,
+    lambda as_of: purchased() & F.col("CardCode").isNotNull(),
+    ("ItemCode", "ItemName", ("FournisseurPrincipal", "CardCode"), "CardName"),
+)
 
 row_rule(
     "PUR-02", INCONSISTENT, "Last purchase price over 120% of the average", "OITM",
@@ -55,13 +48,11 @@ row_rule(
 )
 
 
-@rule("PUR-05", MISSING, "Purchased items without a lead time", "OITM OCRD", "ItemCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    items = missing(t["OITM"].filter(purchased()), "LeadTime", kind="zero")
-    return with_supplier(items, t).select(
-        "ItemCode", "ItemName", F.col("LeadTime").alias("DelaisArticle"), "FournisseurPrincipal", "CardName"
-    )
-
+row_rule(
+    "PUR-05", MISSING, "Purchased items without a lead time", ITEMS_WITH_SUPPLIER,
+    lambda as_of: purchased() & zero("LeadTime"),
+    ("ItemCode", "ItemName", ("DelaisArticle", "LeadTime"), ("FournisseurPrincipal", "CardCode"), "CardName"),
+)
 
 row_rule(
     "PUR-06", MISSING, "Active suppliers without a currency", "OCRD",
@@ -76,15 +67,15 @@ row_rule(
 )
 
 
-@rule("PUR-08", INCONSISTENT, "Purchased items committed beyond their stock", "OITM OCRD", "ItemCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    available = difference("OnHand", "IsCommited")
-    items = compare(t["OITM"].filter(purchased()), available < 0, StockDisponible=available)
-    return with_supplier(items, t).select(
-        "ItemCode", "ItemName", F.col("OnHand").alias("StockPhysique"), F.col("IsCommited").alias("Engage"),
-        "StockDisponible", "FournisseurPrincipal", "CardName",
-    )
-
+row_rule(
+    "PUR-08", INCONSISTENT, "Purchased items committed beyond their stock", ITEMS_WITH_SUPPLIER,
+    lambda as_of: purchased() & (difference("OnHand", "IsCommited") < 0),
+    (
+        "ItemCode", "ItemName", ("StockPhysique", "OnHand"), ("Engage", "IsCommited"),
+        ("StockDisponible", lambda as_of: difference("OnHand", "IsCommited")),
+        ("FournisseurPrincipal", "CardCode"), "CardName",
+    ),
+)
 
 row_rule(
     "PUR-09", MISSING, "Active suppliers with an incomplete address", "OCRD",

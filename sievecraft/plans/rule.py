@@ -44,24 +44,40 @@ class Rule:
         return in_order(found, self.order) if ordered else found
 
 
+@dataclass(frozen=True)
+class Source:
+    """Rows that several checks look at: a table, or tables joined on their codes."""
+
+    name: str
+    tables: tuple[str, ...]
+    rows: Callable[[TableMap], DataFrame]
+
+
 @dataclass(frozen=True)
 class RowRule(Rule):
-    """A check decided by each row of one table alone.
+    """A check decided by each row of its source alone.
 
-    Held as a condition and a list of columns, so that many of them can share one
-    scan of their table.
+    Held as a condition and a list of columns. On its own it is a filter that Spark
+    moves below the joins of the source; together, all checks of one source share
+    its scans and joins.
     """
 
+    source: Source = None
     where: Callable[[AsOf], Column] = None
     show: tuple[Shown, ...] = ()
 
-    def columns(self, as_of: AsOf) -> list[Column]:
+    def columns(self, as_of: AsOf) -> list[Column | str]:
         return [_shown(item, as_of) for item in self.show]
 
+    def key_columns(self, as_of: AsOf) -> list[Column]:
+        named = {item if isinstance(item, str) else item[0]: item for item in self.show}
+        parts = [_shown(named[name], as_of) for name in self.key]
+        return [F.col(part) if isinstance(part, str) else part for part in parts]
+
 
-def _shown(item: Shown, as_of: AsOf) -> Column:
+def _shown(item: Shown, as_of: AsOf) -> Column | str:
     if isinstance(item, str):
-        return F.col(item).alias(item)
+        return item
     name, source = item
     return (F.col(source) if isinstance(source, str) else source(as_of)).alias(name)
 
@@ -93,15 +109,21 @@ def row_rule(
     rule_id: str,
     category: str,
     title: str,
-    table: str,
+    source: str | Source,
     where: Callable[[AsOf], Column],
     show: tuple[Shown, ...],
+    key: str | None = None,
     order: Mapping[str, str] | None = None,
 ) -> RowRule:
-    """Register a check of single rows; the first shown column is its key."""
-    key = show[0] if isinstance(show[0], str) else show[0][0]
+    """Register a check of single rows; the first shown column is its key by default."""
+    if isinstance(source, str):
+        source = Source(source, (source,), lambda tables, name=source: tables[name])
+    first = show[0] if isinstance(show[0], str) else show[0][0]
+    keys = tuple(key.split()) if key else (first,)
 
     def rows(tables: TableMap, as_of: AsOf) -> DataFrame:
-        return tables[table].filter(where(as_of)).select(*(_shown(item, as_of) for item in show))
+        return source.rows(tables).filter(where(as_of)).select(*(_shown(item, as_of) for item in show))
 
-    return _register(RowRule(rule_id, category, title, (table,), (key,), rows, order or {}, where, show))
+    return _register(
+        RowRule(rule_id, category, title, source.tables, keys, rows, order or {}, source, where, show)
+    )

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, blank, days_since, difference, percentage, today, unset, zero
-from ..operators import attach, cardinality, compare, orphans
+from ..operators import attach, cardinality, orphans
 from .constants import CUSTOMER, DEFAULT_PRICE_LIST, EXPIRED, NO, NO_END, NO_START, OTHER_PROBLEM, YES
-from .rule import INCONSISTENT, MISSING, TableMap, row_rule, rule
+from .rule import INCONSISTENT, MISSING, Source, TableMap, row_rule, rule
 
 
 def active_customer() -> Column:
@@ -20,8 +20,16 @@ def on_sale() -> Column:
     return (F.col("SellItem") == YES) & (F.col("validFor") == YES)
 
 
-def default_prices(t: TableMap) -> DataFrame:
-    return t["ITM1"].filter(F.col("PriceList") == DEFAULT_PRICE_LIST)
+def priced_items(t: TableMap) -> DataFrame:
+    """Items on sale with their prices in the default list."""
+    prices = t["ITM1"].filter(F.col("PriceList") == DEFAULT_PRICE_LIST)
+    items = t["OITM"].filter(on_sale()).select("ItemCode", "ItemName", "LastPurPrc")
+    return attach(
+        items, prices, {"ItemCode": "ItemCode"}, "inner", PriceList="PriceList", Price="Price", Currency="Currency"
+    )
+
+
+PRICED_ITEMS = Source("priced items", ("OITM", "ITM1"), priced_items)
 
 
 def price_list_problem(as_of: AsOf) -> Column:
@@ -37,13 +45,13 @@ def price_list_problem(as_of: AsOf) -> Column:
 row_rule(
     "SAL-01", MISSING, "Active customers without an address", "OCRD",
     lambda as_of: active_customer() & blank("Address"),
-    ("CardCode", "CardName", "Address", "Phone1", "E_Mail"), {"CardCode": "asc"},
+    ("CardCode", "CardName", "Address", "Phone1", "E_Mail"), order={"CardCode": "asc"},
 )
 
 row_rule(
     "SAL-02", MISSING, "Active customers without a tax number", "OCRD",
     lambda as_of: active_customer() & blank("LicTradNum"),
-    ("CardCode", "CardName", "LicTradNum", "Address", "Country"), {"CardCode": "asc"},
+    ("CardCode", "CardName", "LicTradNum", "Address", "Country"), order={"CardCode": "asc"},
 )
 
 row_rule(
@@ -53,7 +61,7 @@ row_rule(
         "ListNum", "ListName", "ValidFrom", "ValidTo", ("TypeProbleme", price_list_problem),
         ("JoursDepuisExpiration", lambda as_of: days_since("ValidTo", as_of)),
     ),
-    {"ValidTo": "desc"},
+    order={"ValidTo": "desc"},
 )
 
 
@@ -67,13 +75,13 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
 row_rule(
     "SAL-05", MISSING, "Active customers without payment terms", "OCRD",
     lambda as_of: active_customer() & unset("GroupNum", -1, 0),
-    ("CardCode", "CardName", "GroupCode", ("ConditionsPaiement", "GroupNum"), "Balance"), {"CardCode": "asc"},
+    ("CardCode", "CardName", "GroupCode", ("ConditionsPaiement", "GroupNum"), "Balance"), order={"CardCode": "asc"},
 )
 
 row_rule(
     "SAL-06", MISSING, "Active customers without a shipping type", "OCRD",
     lambda as_of: active_customer() & unset("ShipType", -1, 0),
-    ("CardCode", "CardName", "ShipType", "Address", "City"), {"CardCode": "asc"},
+    ("CardCode", "CardName", "ShipType", "Address", "City"), order={"CardCode": "asc"},
 )
 
 
@@ -91,7 +99,7 @@ row_rule(
         "ItemCode", "ItemName", ("UniteStock", "InvntryUom"), ("UniteVente", "SalUnitMsr"),
         ("UniteAchat", "BuyUnitMsr"),
     ),
-    {"ItemCode": "asc"},
+    order={"ItemCode": "asc"},
 )
 
 row_rule(
@@ -103,29 +111,26 @@ row_rule(
         ("PourcentageUtilisation", lambda as_of: percentage("Balance", "CreditLine")),
         ("TelMobile", "Cellular"),
     ),
-    {"Depassement": "desc"},
+    order={"Depassement": "desc"},
 )
 
 
-@rule("SAL-A2", MISSING, "Items on sale without a price in the default list", "OITM ITM1", "ItemCode", {"ItemCode": "asc"})
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    unpriced = default_prices(t).filter(zero("Price"))
-    items = t["OITM"].filter(on_sale()).select("ItemCode", "ItemName")
-    return attach(
-        items, unpriced, {"ItemCode": "ItemCode"}, "inner", ListNum="PriceList", Price="Price", Currency="Currency"
-    )
-
+row_rule(
+    "SAL-A2", MISSING, "Items on sale without a price in the default list", PRICED_ITEMS,
+    lambda as_of: zero("Price"), ("ItemCode", "ItemName", ("ListNum", "PriceList"), "Price", "Currency"),
+    order={"ItemCode": "asc"},
+)
 
 row_rule(
     "SAL-A3", MISSING, "Active customers without a group", "OCRD",
     lambda as_of: active_customer() & unset("GroupCode", -1, 0),
-    ("CardCode", "CardName", "GroupCode", "Balance", "CreateDate"), {"CreateDate": "desc"},
+    ("CardCode", "CardName", "GroupCode", "Balance", "CreateDate"), order={"CreateDate": "desc"},
 )
 
 row_rule(
     "SAL-A4", MISSING, "Active items without a group", "OITM",
     lambda as_of: (F.col("validFor") == YES) & unset("ItmsGrpCod", -1, 0),
-    ("ItemCode", "ItemName", "ItmsGrpCod", "OnHand", "SellItem"), {"ItemCode": "asc"},
+    ("ItemCode", "ItemName", "ItmsGrpCod", "OnHand", "SellItem"), order={"ItemCode": "asc"},
 )
 
 
@@ -138,16 +143,13 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     ).select("CardCode", "CardName", "NombreContacts", "E_Mail", "Phone1")
 
 
-@rule("SAL-A6", INCONSISTENT, "Items sold below their last purchase price", "OITM ITM1", "ItemCode", {"Marge": "asc"})
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    items = t["OITM"].filter(on_sale() & (F.col("LastPurPrc") > 0)).select("ItemCode", "ItemName", "LastPurPrc")
-    priced = attach(
-        items, default_prices(t), {"ItemCode": "ItemCode"}, "inner", PrixVente="Price", NumListe="PriceList"
-    )
-    margin = difference("PrixVente", "LastPurPrc")
-    return compare(
-        priced, F.col("PrixVente") < F.col("LastPurPrc"), Marge=margin, PourcentageMarge=percentage(margin, "LastPurPrc")
-    ).select(
-        "ItemCode", "ItemName", F.col("LastPurPrc").alias("DernierPrixAchat"), "PrixVente", "NumListe", "Marge",
-        "PourcentageMarge",
-    )
+row_rule(
+    "SAL-A6", INCONSISTENT, "Items sold below their last purchase price", PRICED_ITEMS,
+    lambda as_of: (F.col("LastPurPrc") > 0) & (F.col("Price") < F.col("LastPurPrc")),
+    (
+        "ItemCode", "ItemName", ("DernierPrixAchat", "LastPurPrc"), ("PrixVente", "Price"),
+        ("NumListe", "PriceList"), ("Marge", lambda as_of: difference("Price", "LastPurPrc")),
+        ("PourcentageMarge", lambda as_of: percentage(difference("Price", "LastPurPrc"), "LastPurPrc")),
+    ),
+    order={"Marge": "asc"},
+)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import AsOf, blank, days_before, days_since, difference, label, or_zero, percentage, rounded_product
 from ..operators import attach, compare, latest, orphans, splittable, stale
 from .constants import IDLE_STOCK_DAYS, MOVEMENT_TYPES, NEVER_MOVED, OTHER_MOVEMENT, RECENT_DAYS, STOCK_COUNT, YES
-from .rule import INCONSISTENT, MISSING, TableMap, rule
+from .items import WAREHOUSE_STOCK
+from .rule import INCONSISTENT, MISSING, TableMap, row_rule, rule
 
 
 def active_items(t: TableMap) -> DataFrame:
@@ -37,9 +38,10 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     ).select("ItemCode", "ItemName", "WhsCode", "OnHand", "DernierInventaire", "Ecart")
 
 
-@rule("STK-02", INCONSISTENT, "Negative stock", "OITM OITW", "ItemCode WhsCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return named(compare(t["OITW"], F.col("OnHand") < 0), t["OITM"]).select("ItemCode", "ItemName", "WhsCode", "OnHand")
+row_rule(
+    "STK-02", INCONSISTENT, "Negative stock", WAREHOUSE_STOCK,
+    lambda as_of: F.col("OnHand") < 0, ("ItemCode", "ItemName", "WhsCode", "OnHand"), key="ItemCode WhsCode",
+)
 
 
 @rule("STK-03", MISSING, "Stock without a bin", "OITM OITW OIBQ OBIN", "ItemCode WhsCode")
@@ -72,13 +74,15 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     )
 
 
-@rule("STK-05", INCONSISTENT, "Committed stock", "OITM OITW", "ItemCode WhsCode", {"QteEngagee": "desc"})
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    committed = compare(t["OITW"], F.col("IsCommited") > 0, PourcentageBloque=percentage("IsCommited", "OnHand"))
-    return named(committed, active_items(t)).select(
-        "ItemCode", "ItemName", "WhsCode", F.col("IsCommited").alias("QteEngagee"),
-        F.col("OnHand").alias("StockDisponible"), "PourcentageBloque",
-    )
+row_rule(
+    "STK-05", INCONSISTENT, "Committed stock", WAREHOUSE_STOCK,
+    lambda as_of: (F.col("validFor") == YES) & (F.col("IsCommited") > 0),
+    (
+        "ItemCode", "ItemName", "WhsCode", ("QteEngagee", "IsCommited"), ("StockDisponible", "OnHand"),
+        ("PourcentageBloque", lambda as_of: percentage("IsCommited", "OnHand")),
+    ),
+    key="ItemCode WhsCode", order={"QteEngagee": "desc"},
+)
 
 
 @rule("STK-06", INCONSISTENT, "Stock without a movement for a year", "OITM OITW OINM", "ItemCode WhsCode", {"JoursSansMouvement": "desc"})

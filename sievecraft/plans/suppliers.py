@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import AsOf, empty, is_missing
-from ..operators import attach, cardinality, duplicates, missing, orphans, status_conflict
+from ..functions import AsOf, empty, is_missing, unset, zero
+from ..operators import attach, cardinality, duplicates, orphans, status_conflict
 from .constants import BOUGHT, NO, SUPPLIER
-from .rule import DUPLICATE, INTEGRITY, INVALID, MISSING, TableMap, row_rule, rule
+from .rule import DUPLICATE, INTEGRITY, INVALID, MISSING, Source, TableMap, row_rule, rule
 
 
 def bought_items(t: TableMap) -> DataFrame:
@@ -24,6 +24,14 @@ def suppliers(t: TableMap) -> DataFrame:
     return t["OCRD"].filter(F.col("CardType") == SUPPLIER)
 
 
+def items_with_supplier(t: TableMap) -> DataFrame:
+    return attach(t["OITM"], t["OCRD"], {"CardCode": "CardCode"}, CardName="CardName")
+
+
+# Items with the name of their default supplier, if known.
+ITEMS_WITH_SUPPLIER = Source("items with supplier", ("OITM", "OCRD"), items_with_supplier)
+
+
 row_rule(
     "SUP-01", MISSING, "Bought items without a default supplier", "OITM",
     lambda as_of: (F.col("PrcrmntMtd") == BOUGHT) & empty("CardCode"),
@@ -56,21 +64,18 @@ row_rule(
 )
 
 
-@rule("SUP-05", MISSING, "Bought items with their default supplier and purchase unit", "OITM OCRD", "ItemCode Fournisseur")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    # Titled as missing purchase price, but the rule tests no price.
-    return attach(sourced_items(t), t["OCRD"], {"CardCode": "CardCode"}, CardName="CardName").select(
-        "ItemCode", "ItemName", F.col("CardCode").alias("Fournisseur"), "CardName", "BuyUnitMsr", "NumInBuy"
-    )
-
+# Titled as missing purchase price, but the rule tests no price.
+row_rule(
+    "SUP-05", MISSING, "Bought items with their default supplier and purchase unit", ITEMS_WITH_SUPPLIER,
+    lambda as_of: (F.col("PrcrmntMtd") == BOUGHT) & ~empty("CardCode"),
+    ("ItemCode", "ItemName", ("Fournisseur", "CardCode"), "CardName", "BuyUnitMsr", "NumInBuy"),
+)
 
-@rule("SUP-06", MISSING, "Bought items without a lead time", "OITM OCRD", "ItemCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    items = missing(bought_items(t), "LeadTime", kind="zero")
-    return attach(items, t["OCRD"], {"CardCode": "CardCode"}, CardName="CardName").select(
-        "ItemCode", "ItemName", F.col("CardCode").alias("Fournisseur"), "CardName", "LeadTime", "OrdrIntrvl",
-        "MinOrdrQty",
-    )
+row_rule(
+    "SUP-06", MISSING, "Bought items without a lead time", ITEMS_WITH_SUPPLIER,
+    lambda as_of: (F.col("PrcrmntMtd") == BOUGHT) & zero("LeadTime"),
+    ("ItemCode", "ItemName", ("Fournisseur", "CardCode"), "CardName", "LeadTime", "OrdrIntrvl", "MinOrdrQty"),
+)
 
 
 @rule("SUP-07", DUPLICATE, "Supplier codes used more than once", "OCRD", "CardCode")
@@ -92,7 +97,7 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
 
 row_rule(
     "SUP-09", MISSING, "Suppliers without payment terms", "OCRD",
-    lambda as_of: (F.col("CardType") == SUPPLIER) & is_missing("GroupNum", codes=(-1,)),
+    lambda as_of: (F.col("CardType") == SUPPLIER) & unset("GroupNum", -1),
     ("CardCode", "CardName", "GroupNum"),
 )
 
