@@ -51,7 +51,8 @@ class Tables(Mapping[str, DataFrame]):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._loaded:
-            self._loaded[name] = conform(self._read(name), SCHEMAS[name], name, self._cast)
+            schema = SCHEMAS[name]
+            self._loaded[name] = conform(self._read(name), schema, name, self._cast)
         return self._loaded[name]
 
     def __iter__(self) -> Iterator[str]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import duckdb
@@ -61,3 +62,51 @@ def duck():
     yield connect
     for con in open_connections.values():
         con.close()
+
+
+# Column of each table that gets one value in a third of all rows.
+HOT = {
+    "OITM": ("CardCode", "S1"),
+    "OCRD": ("CardName", "Dup 9"),
+    "OCPR": ("CardCode", "C6"),
+    "ITM1": ("ItemCode", "P7"),
+    "POR1": ("ItemCode", "P3"),
+    "ITM2": ("ItemCode", "P2"),
+    "OITW": ("ItemCode", "P8"),
+    "OINM": ("ItemCode", "P8"),
+    "OIBQ": ("BinAbs", "5"),
+    "OITT": ("Code", "P8"),
+    "ITT1": ("Code", "P1"),
+}
+
+
+@pytest.fixture(scope="session")
+def business_folder(spark):
+    """The business tables as Parquet folders of several files."""
+    from sievecraft.sources import SCHEMAS, DerivedTables, conform
+
+    folder = tempfile.mkdtemp(prefix="run-")
+    derived = DerivedTables(spark, str(TESTDATA / "sf0.01"))
+    for name, schema in SCHEMAS.items():
+        conform(derived[name], schema, name).repartition(6).write.parquet(f"{folder}/{name}")
+    return folder
+
+
+@pytest.fixture(scope="session")
+def hot_folder(spark, business_folder):
+    """The business tables with hot keys (see HOT)."""
+    from pyspark.sql import functions as F
+
+    from sievecraft.sources import SCHEMAS
+
+    folder = tempfile.mkdtemp(prefix="run-")
+    for name, schema in SCHEMAS.items():
+        table = spark.read.parquet(f"{business_folder}/{name}")
+        if name in HOT:
+            column, value = HOT[name]
+            hot = F.pmod(F.xxhash64(*table.columns), F.lit(3)) == 0
+            table = table.withColumn(
+                column, F.when(hot, F.lit(value).cast(schema[column].dataType)).otherwise(F.col(column))
+            )
+        table.write.parquet(f"{folder}/{name}")
+    return folder

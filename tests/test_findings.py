@@ -1,0 +1,79 @@
+"""The pack of checks as one job."""
+
+from __future__ import annotations
+
+import datetime
+import json
+
+import pytest
+
+import sievecraft
+from sievecraft import RULES, DerivedTables
+from conftest import TESTDATA
+
+AS_OF = datetime.date(2001, 8, 1)
+CHOSEN = ["SUP-01", "ITM-14", "ITM-17", "SAL-03", "STK-04", "BOM-04", "ITM-09"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return DerivedTables(spark, str(TESTDATA / "sf0.01"))
+
+
+def test_catalogue():
+    assert len(RULES) == 80
+    for rule_id, found in RULES.items():
+        assert found.rule_id == rule_id and found.title and found.category and found.tables and found.key
+
+
+def test_details_hold_the_rows_of_the_checks(tables):
+    found = sievecraft.findings(tables, AS_OF, CHOSEN)
+    assert found.columns == ["rule_id", "category", "record_key", "details"]
+    by_rule: dict[str, list] = {}
+    for row in found.collect():
+        by_rule.setdefault(row.rule_id, []).append(row)
+    for rule_id in CHOSEN:
+        alone = sievecraft.check(rule_id, tables, AS_OF)
+        expected = sorted(alone.toJSON().collect()) if rule_id not in ("SUP-01",) else None
+        details = [json.loads(row.details) for row in by_rule[rule_id]]
+        assert all(list(detail) == alone.columns for detail in details)
+        assert {row.category for row in by_rule[rule_id]} == {RULES[rule_id].category}
+        assert len(details) == alone.count()
+        if expected is not None:
+            kept = sorted(json.dumps({k: v for k, v in d.items() if v is not None}, sort_keys=True) for d in details)
+            assert kept == sorted(json.dumps(json.loads(text), sort_keys=True) for text in expected)
+
+
+def test_record_keys(tables):
+    found = sievecraft.findings(tables, AS_OF, ["BOM-04"], details=False)
+    keys = sorted(row.record_key for row in found.collect())
+    alone = sievecraft.check("BOM-04", tables, AS_OF).select("Parent", "Component").collect()
+    assert keys == sorted(f"{row.Parent}|{row.Component}" for row in alone)
+
+
+def test_summary(tables):
+    counted = sievecraft.summary(sievecraft.findings(tables, AS_OF, CHOSEN, details=False))
+    assert {row.rule_id: row.findings for row in counted.collect()} == {
+        rule_id: sievecraft.check(rule_id, tables, AS_OF).count() for rule_id in CHOSEN
+    }
+
+
+def test_choice_of_rules(tables):
+    with pytest.raises(ValueError):
+        sievecraft.findings(tables, AS_OF, [])
+    with pytest.raises(KeyError):
+        sievecraft.findings(tables, AS_OF, ["NONE-01"])
+
+
+def test_today_is_the_default(spark, tables):
+    # All fixture dates lie before 2010, so whatever the current date every dated item is stale.
+    stale = sievecraft.check("ITM-14", tables)
+    assert stale.count() == tables["OITM"].filter("UpdateDate IS NOT NULL").count()
+
+
+def test_orders(tables):
+    margins = [row.Marge for row in sievecraft.check("SAL-A6", tables, AS_OF).collect()]
+    assert margins == sorted(margins)
+    ends = [row.ValidTo for row in sievecraft.check("SAL-03", tables, AS_OF).collect()]
+    dated = [day for day in ends if day is not None]
+    assert ends == sorted(dated, reverse=True) + [None] * (len(ends) - len(dated))
