@@ -42,7 +42,10 @@ def cardinality(
         rows = attach(copies(df, *df.columns, count="__copies"), splittable(per_key), on, how, **carried)
         totals = {name: F.coalesce(F.col(name) * F.col("__copies"), F.lit(0)) for name in counts}
         return rows.withColumns(totals).drop("__copies").filter(wanted)
+    # Made distinct after the join, when few rows are left to shuffle for it.
     if how == "inner":
-        return attach(df.distinct(), splittable(per_key.filter(wanted)), on, how, **carried)
-    rows = attach(df.distinct(), splittable(per_key), on, how, **carried)
-    return rows.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in counts}).filter(wanted)
+        rows = attach(df, splittable(per_key.filter(wanted)), on, how, **carried)
+    else:
+        rows = attach(df, splittable(per_key), on, how, **carried)
+        rows = rows.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in counts}).filter(wanted)
+    return splittable(rows).distinct()

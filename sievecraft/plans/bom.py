@@ -108,8 +108,9 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
 @rule("BOM-10", INCONSISTENT, "Items that are their own component", "ITT1 OITM", "Parent")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
     loops = self_loops(t["ITT1"], "Father", "Code").select("Father", "Code", "Quantity").distinct()
-    items = t["OITM"].select("ItemCode", "ItemName").distinct()
-    return with_parent(with_component(loops, items), items).select(
+    codes = loops.select(F.col("Code").alias("ItemCode")).distinct()
+    names = attach(codes, t["OITM"], {"ItemCode": "ItemCode"}, "inner", ItemName="ItemName").distinct()
+    return with_parent(with_component(loops, names), names).select(
         F.col("Father").alias("Parent"), "ParentName", F.col("Code").alias("Component"), "ComponentName", "Quantity"
     )
 

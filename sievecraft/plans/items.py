@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, blank, days_since, is_missing, months_before, or_zero
-from ..operators import attach, cardinality, duplicates, orphans, stale
+from ..operators import attach, cardinality, duplicates, orphans, splittable, stale
 from .bom import BOM_HEADERS, made_without_bom
 from .constants import BOUGHT, IDLE_ITEM_MONTHS, IDLE_MOVEMENT_MONTHS, NO, NO_BARCODE, SHORTEST_NAME, YES
 from .rule import DUPLICATE, INCONSISTENT, INVALID, MISSING, Source, TableMap, row_rule, rule
@@ -130,10 +130,11 @@ row_rule(
 
 @rule("ITM-20", INCONSISTENT, "Items without a stock movement for a year", "OITM OINM", "ItemCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return stale(
-        t["OITM"].select(*ITEM).distinct(), t["OINM"], {"ItemCode": "ItemCode"}, "DocDate",
+    idle = stale(
+        t["OITM"].select(*ITEM), t["OINM"], {"ItemCode": "ItemCode"}, "DocDate",
         months_before(as_of, IDLE_MOVEMENT_MONTHS), "DernierMouvement",
     )
+    return splittable(idle).distinct()
 
 
 @rule("ITM-21", INCONSISTENT, "Items with differing levels between warehouses", "OITM OITW", "ItemCode")

@@ -16,6 +16,10 @@ def active_items(t: TableMap) -> DataFrame:
     return t["OITM"].filter(F.col("validFor") == YES)
 
 
+def stock_in_hand(t: TableMap) -> DataFrame:
+    return t["OITW"].filter(F.col("OnHand") > 0).select("ItemCode", "WhsCode", "OnHand")
+
+
 def named(rows: DataFrame, items: DataFrame, **more: str) -> DataFrame:
     """Rows of existing items, with the item's name."""
     return attach(rows, items, {"ItemCode": "ItemCode"}, "inner", ItemName="ItemName", **more)
@@ -47,18 +51,18 @@ row_rule(
 @rule("STK-03", MISSING, "Stock without a bin", "OITM OITW OIBQ OBIN", "ItemCode WhsCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
     # Stock is fine when its item and warehouse have bin rows and each leads to a
-    # bin, or bins, that all have a code.
+    # bin, or bins, that all have a code. Rows are made distinct on both sides
+    # before they meet, so equal rows are not paired with each other.
     bins = t["OBIN"].groupBy("AbsEntry").agg(F.bool_and(~blank("BinCode")).alias("coded"))
     placed = (
-        attach(t["OIBQ"].distinct(), splittable(bins), {"BinAbs": "AbsEntry"}, coded="coded")
+        attach(t["OIBQ"], splittable(bins), {"BinAbs": "AbsEntry"}, coded="coded")
         .groupBy("ItemCode", "WhsCode")
         .agg(F.bool_and(F.coalesce("coded", F.lit(False))).alias("located"))
         .filter("located")
     )
-    stock = t["OITW"].filter(F.col("OnHand") > 0).select("ItemCode", "WhsCode", "OnHand").distinct()
-    loose = orphans(stock, splittable(placed), {"ItemCode": "ItemCode", "WhsCode": "WhsCode"})
+    loose = orphans(stock_in_hand(t), splittable(placed), {"ItemCode": "ItemCode", "WhsCode": "WhsCode"})
     items = active_items(t).select("ItemCode", "ItemName").distinct()
-    return named(loose, items).select("ItemCode", "ItemName", "WhsCode", "OnHand")
+    return named(splittable(loose).distinct(), items).select("ItemCode", "ItemName", "WhsCode", "OnHand")
 
 
 @rule(
@@ -87,13 +91,12 @@ row_rule(
 
 @rule("STK-06", INCONSISTENT, "Stock without a movement for a year", "OITM OITW OINM", "ItemCode WhsCode", {"JoursSansMouvement": "desc"})
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    stock = t["OITW"].filter(F.col("OnHand") > 0).select("ItemCode", "WhsCode", "OnHand").distinct()
     idle = stale(
-        stock, t["OINM"], {"ItemCode": "ItemCode", "WhsCode": "Warehouse"}, "DocDate",
+        stock_in_hand(t), t["OINM"], {"ItemCode": "ItemCode", "WhsCode": "Warehouse"}, "DocDate",
         days_before(as_of, IDLE_STOCK_DAYS), "moved",
     ).withColumn("DernierMvt", F.coalesce("moved", F.lit(NEVER_MOVED)))
     items = active_items(t).select("ItemCode", "ItemName", "AvgPrice").distinct()
-    return named(idle, items, AvgPrice="AvgPrice").select(
+    return named(splittable(idle).distinct(), items, AvgPrice="AvgPrice").select(
         "ItemCode", "ItemName", "WhsCode", "OnHand", "DernierMvt",
         days_since("DernierMvt", as_of).alias("JoursSansMouvement"),
         rounded_product("OnHand", "AvgPrice").alias("ValeurStock"),
