@@ -2,13 +2,13 @@
 
 from sievecraft import RULES
 
-from .statements import AS_OF, STATEMENTS
+from .statements import AS_OF, STATEMENTS, VARIANTS
 from .tables import SOURCES, with_tables
 
 
 def statement(rule_id: str) -> str:
     """The rows that break one rule."""
-    tables, body = STATEMENTS[rule_id]
+    tables, body = STATEMENTS.get(rule_id) or VARIANTS[rule_id]
     return with_tables(tuple(tables.split()), body)
 
 
@@ -32,4 +32,4 @@ def summary_statement() -> str:
     )
 
 
-__all__ = ["AS_OF", "STATEMENTS", "findings_statement", "statement", "summary_statement"]
+__all__ = ["AS_OF", "STATEMENTS", "VARIANTS", "findings_statement", "statement", "summary_statement"]

@@ -450,3 +450,39 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         " HAVING JoursSansMouvement > 365",
     ),
 }
+
+
+def deep(levels: int) -> str:
+    """Parents with a path of more than ``levels`` lines below them."""
+    inner = "SELECT Father FROM ITT1"
+    return inner if levels == 0 else f"{inner} WHERE Code IN ({deep(levels - 1)})"
+
+
+VARIANTS: dict[str, tuple[str, str]] = {
+    "BOM-10-cycle": (
+        "OITM ITT1",
+        "SELECT ItemCode AS Parent, ItemName AS ParentName FROM OITM WHERE ItemCode IN ("
+        "WITH RECURSIVE below(top, part) AS (SELECT Father, Code FROM ITT1"
+        " UNION SELECT top, Code FROM below JOIN ITT1 ON Father = part) SELECT top FROM below WHERE top = part)",
+    ),
+    "BOM-15-depth": ("OITM ITT1", pick("OITM", "ItemCode AS Parent, ItemName AS ParentName", f"ItemCode IN ({deep(5)})")),
+    "SUP-05-price": (
+        "OITM ITM1",
+        pick(
+            "OITM", "ItemCode, ItemName, CardCode AS Fournisseur",
+            f"{BOUGHT} AND length(CardCode) > 0 AND ItemCode NOT IN (SELECT ItemCode FROM ITM1 WHERE Price > 0)",
+        ),
+    ),
+    "PUR-01-price": (
+        "OITM ITM1",
+        pick(
+            "OITM", "ItemCode, ItemName, CardCode AS FournisseurPrincipal",
+            f"{PURCHASED} AND CardCode IS NOT NULL AND ItemCode NOT IN (SELECT ItemCode FROM ITM1 WHERE Price > 0)",
+        ),
+    ),
+    "ITM-07-none": (
+        "OITM ITM2",
+        "SELECT ItemCode, ItemName, count(DISTINCT nullif(trim(s.CardCode), '')) AS NbFournisseurs"
+        " FROM OITM LEFT JOIN ITM2 s USING (ItemCode) WHERE PrchseItem = 'Y' GROUP BY ALL HAVING NbFournisseurs < 2",
+    ),
+}

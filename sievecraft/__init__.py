@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from .functions import AsOf
-from .plans import RULES, RowRule, Rule, findings, summary
+from .plans import RULES, VARIANTS, RowRule, Rule, findings, summary
 from .sources import DerivedTables, from_database, from_folder
 
 
@@ -16,9 +16,11 @@ def check(rule_id: str, tables: Mapping[str, DataFrame], as_of: AsOf = None) ->
 
     ``as_of`` is the day that stands for today; None means the current date.
     """
-    return RULES[rule_id].run(tables, as_of)
+    found = RULES.get(rule_id) or VARIANTS[rule_id]
+    return found.run(tables, as_of)
 
 
 __all__ = [
-    "RULES", "DerivedTables", "RowRule", "Rule", "check", "findings", "from_database", "from_folder", "summary",
+    "RULES", "VARIANTS", "DerivedTables", "RowRule", "Rule", "check", "findings", "from_database", "from_folder",
+    "summary",
 ]

@@ -3,12 +3,12 @@
 from .cardinality import cardinality
 from .duplicates import copies, duplicates
 from .filters import compare, missing
-from .hierarchy import self_loops
+from .hierarchy import cycle_members, deeper_than, self_loops
 from .ordering import in_order
 from .recency import latest, stale
 from .references import attach, orphans, splittable, status_conflict
 
 __all__ = [
-    "attach", "cardinality", "compare", "copies", "duplicates", "in_order", "latest", "missing", "orphans",
-    "self_loops", "splittable", "stale", "status_conflict",
+    "attach", "cardinality", "compare", "copies", "cycle_members", "deeper_than", "duplicates", "in_order", "latest",
+    "missing", "orphans", "self_loops", "splittable", "stale", "status_conflict",
 ]

@@ -5,7 +5,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .references import attach, splittable
+
 
 def self_loops(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """Edges from a node to itself."""
     return edges.filter(F.col(parent) == F.col(child))
+
+
+def deeper_than(edges: DataFrame, parent: str, child: str, levels: int) -> DataFrame:
+    """Nodes (column ``node``) with a path of more than ``levels`` edges below them.
+
+    Works upwards: a node is deeper than n when a child is deeper than n - 1. Each
+    level is one semi-join of the edges, whatever the number of paths, and a cycle
+    counts as endless depth.
+    """
+    links = edges.select(F.col(parent).alias("node"), F.col(child).alias("child"))
+    deep = links.select("node").distinct()
+    for _ in range(levels):
+        deep = _among(links, "child", deep.select("node")).select("node").distinct()
+    return deep
+
+
+def cycle_members(edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """Nodes (column ``node``) from which a path leads back to the node itself.
+
+    First every link is dropped that starts at a node nothing leads to or ends at
+    one that leads nowhere, until none is left to drop. What remains lies on cycles
+    or between them. To tell these apart, each node takes the largest name among
+    the nodes leading to it, then among those it leads to. Nodes of one cycle agree
+    on both, so links between differing nodes are dropped, until none is. The work
+    of a round grows with the links left, and the rounds with the longest path.
+
+    Rounds are cut by ``checkpoint``, so the session needs a checkpoint folder.
+    """
+    links = edges.select(F.col(parent).alias("source"), F.col(child).alias("target")).dropna().distinct()
+    links, left = _trimmed(links.checkpoint())
+    while left:
+        agreeing = _same_label(_same_label(links, "source", "target"), "target", "source")
+        links, still = _trimmed(agreeing)
+        if still == left:
+            break
+        left = still
+    return links.select(F.col("source").alias("node")).distinct()
+
+
+def _among(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Rows whose column is one of the (distinct) names."""
+    other = splittable(names.select(F.col(names.columns[0]).alias("__name")))
+    return rows.join(other, F.col(column) == F.col("__name"), "left_semi")
+
+
+def _trimmed(links: DataFrame) -> tuple[DataFrame, int]:
+    left = links.count()
+    while left:
+        inner = _among(links, "target", links.select("source").distinct())
+        inner = _among(inner, "source", links.select("target").distinct()).checkpoint()
+        still = inner.count()
+        if still == left:
+            break
+        links, left = inner, still
+    return links, left
+
+
+def _same_label(links: DataFrame, start: str, end: str) -> DataFrame:
+    """Links whose two nodes see the same largest name when following them from start to end."""
+    nodes = links.select(F.col(start).alias("node")).union(links.select(F.col(end))).distinct()
+    labels = nodes.withColumn("label", F.col("node")).checkpoint()
+    growing = True
+    while growing:
+        offered = (
+            attach(links, splittable(labels), {start: "node"}, "inner", label="label")
+            .groupBy(end)
+            .agg(F.max("label").alias("offer"))
+        )
+        grown = attach(labels, offered, {"node": end}, offer="offer").select(
+            "node",
+            F.greatest("label", "offer").alias("label"),
+            F.coalesce(F.col("offer") > F.col("label"), F.lit(False)).alias("grew"),
+        ).checkpoint()
+        growing = not grown.filter("grew").isEmpty()
+        labels = grown.drop("grew")
+    both = attach(links, splittable(labels), {start: "node"}, "inner", first="label")
+    both = attach(both, splittable(labels), {end: "node"}, "inner", second="label")
+    return both.filter(F.col("first") == F.col("second")).select("source", "target").checkpoint()

@@ -2,6 +2,6 @@
 
 from . import bom, items, purchasing, sales, stock, suppliers  # noqa: F401  (fills the register)
 from .findings import findings, summary
-from .rule import RULES, RowRule, Rule
+from .rule import RULES, VARIANTS, RowRule, Rule
 
-__all__ = ["RULES", "RowRule", "Rule", "findings", "summary"]
+__all__ = ["RULES", "VARIANTS", "RowRule", "Rule", "findings", "summary"]

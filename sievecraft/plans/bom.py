@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, blank, not_positive
-from ..operators import attach, copies, duplicates, orphans, self_loops, splittable
-from .constants import HAS_BOM, HAS_NO_BOM, MADE, NO
+from ..operators import attach, copies, cycle_members, deeper_than, duplicates, orphans, self_loops, splittable
+from .constants import DEEPEST_BOM, HAS_BOM, HAS_NO_BOM, MADE, NO
 from .rule import COMPLEXITY, DUPLICATE, INCONSISTENT, INTEGRITY, INVALID, MISSING, Source, TableMap, row_rule, rule
 
 
@@ -158,3 +158,16 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
         F.col("Father").alias("Parent"), "ParentName", F.col("Code").alias("Component"), "ComponentName",
         "ComponentProcurement", "Quantity", "A_SousBOM",
     )
+
+
+@rule("BOM-10-cycle", INCONSISTENT, "Items that contain themselves at any level", "ITT1 OITM", "Parent", variant=True)
+def _(t: TableMap, as_of: AsOf) -> DataFrame:
+    return with_parent(cycle_members(t["ITT1"], "Father", "Code"), t["OITM"], "node").select(
+        F.col("node").alias("Parent"), "ParentName"
+    )
+
+
+@rule("BOM-15-depth", COMPLEXITY, "Bills of materials of more than five levels", "ITT1 OITM", "Parent", variant=True)
+def _(t: TableMap, as_of: AsOf) -> DataFrame:
+    deep = splittable(deeper_than(t["ITT1"], "Father", "Code", DEEPEST_BOM))
+    return with_parent(deep, t["OITM"], "node").select(F.col("node").alias("Parent"), "ParentName")

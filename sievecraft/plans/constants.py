@@ -19,6 +19,7 @@ STOCK_COUNT = 59  # movement type of a stock count
 # Thresholds.
 PRICE_RISE = Decimal("1.2")
 SHORTEST_NAME = 3
+DEEPEST_BOM = 5
 IDLE_ITEM_MONTHS = 24
 IDLE_MOVEMENT_MONTHS = 12
 RECENT_DAYS = 90

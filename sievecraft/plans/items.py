@@ -53,13 +53,27 @@ row_rule(
 )
 
 
+def purchasable_items(t: TableMap) -> DataFrame:
+    return t["OITM"].filter(F.col("PrchseItem") == YES).select(*ITEM)
+
+
+def listed_suppliers(t: TableMap) -> DataFrame:
+    return t["ITM2"].filter(~blank("CardCode"))
+
+
+SUPPLIER_COUNT = "NbFournisseurs"
+
+
 @rule("ITM-07", INCONSISTENT, "Purchasable items with a single listed supplier", "OITM ITM2", "ItemCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return cardinality(
-        t["OITM"].filter(F.col("PrchseItem") == YES).select(*ITEM),
-        t["ITM2"].filter(~blank("CardCode")),
-        {"ItemCode": "ItemCode"}, {"NbFournisseurs": F.count_distinct("CardCode")}, low=1, high=1,
-    )
+    counts = {SUPPLIER_COUNT: F.count_distinct("CardCode")}
+    return cardinality(purchasable_items(t), listed_suppliers(t), {"ItemCode": "ItemCode"}, counts, low=1, high=1)
+
+
+@rule("ITM-07-none", INCONSISTENT, "Purchasable items with one listed supplier or none", "OITM ITM2", "ItemCode", variant=True)
+def _(t: TableMap, as_of: AsOf) -> DataFrame:
+    counts = {SUPPLIER_COUNT: F.count_distinct("CardCode")}
+    return cardinality(purchasable_items(t), listed_suppliers(t), {"ItemCode": "ItemCode"}, counts, high=1)
 
 
 row_rule("ITM-08", MISSING, "Items without a procurement method", "OITM", lambda as_of: blank("PrcrmntMtd"), (*ITEM, "PrcrmntMtd"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank, difference, is_missing, unset, zero
+from ..functions import AsOf, blank, difference, is_missing, unset, zero
 from .constants import MADE, PRICE_RISE, PURCHASED, SUPPLIER, YES
-from .rule import INCONSISTENT, MISSING, row_rule
-from .suppliers import ITEMS_WITH_SUPPLIER
+from .rule import INCONSISTENT, MISSING, TableMap, row_rule, rule
+from .suppliers import ITEMS_WITH_SUPPLIER, unpriced
 
 
 def purchased() -> Column:
@@ -88,3 +88,9 @@ row_rule(
     lambda as_of: purchased() & zero("AvgPrice"),
     ("ItemCode", "ItemName", "AvgPrice", ("DernierPrixAchat", "LastPurPrc"), ("FournisseurPrincipal", "CardCode")),
 )
+
+
+@rule("PUR-01-price", MISSING, "Purchased items without any price", "OITM ITM1", "ItemCode", variant=True)
+def _(t: TableMap, as_of: AsOf) -> DataFrame:
+    items = t["OITM"].filter(purchased() & F.col("CardCode").isNotNull())
+    return unpriced(items, t).select("ItemCode", "ItemName", F.col("CardCode").alias("FournisseurPrincipal"))

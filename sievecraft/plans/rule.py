@@ -83,23 +83,31 @@ def _shown(item: Shown, as_of: AsOf) -> Column | str:
 
 
 RULES: dict[str, Rule] = {}
+# Checks of what the title of a rule promises, where its condition tests less.
+VARIANTS: dict[str, Rule] = {}
 
 
-def _register(found: Rule) -> Rule:
-    if found.rule_id in RULES:
+def _register(found: Rule, variant: bool = False) -> Rule:
+    if found.rule_id in RULES or found.rule_id in VARIANTS:
         raise ValueError(f"{found.rule_id} is registered twice")
-    RULES[found.rule_id] = found
+    (VARIANTS if variant else RULES)[found.rule_id] = found
     return found
 
 
 def rule(
-    rule_id: str, category: str, title: str, tables: str, key: str, order: Mapping[str, str] | None = None
+    rule_id: str,
+    category: str,
+    title: str,
+    tables: str,
+    key: str,
+    order: Mapping[str, str] | None = None,
+    variant: bool = False,
 ) -> Callable[[Callable[[TableMap, AsOf], DataFrame]], Rule]:
     """Register the decorated function, from tables and reporting day to rows."""
 
     def wrap(rows: Callable[[TableMap, AsOf], DataFrame]) -> Rule:
         return _register(
-            Rule(rule_id, category, title, tuple(tables.split()), tuple(key.split()), rows, order or {})
+            Rule(rule_id, category, title, tuple(tables.split()), tuple(key.split()), rows, order or {}), variant
         )
 
     return wrap

@@ -24,6 +24,11 @@ def suppliers(t: TableMap) -> DataFrame:
     return t["OCRD"].filter(F.col("CardType") == SUPPLIER)
 
 
+def unpriced(items: DataFrame, t: TableMap) -> DataFrame:
+    """Items without a positive price in any list."""
+    return orphans(items, t["ITM1"].filter(F.col("Price") > 0), {"ItemCode": "ItemCode"}, many=True)
+
+
 def items_with_supplier(t: TableMap) -> DataFrame:
     return attach(t["OITM"], t["OCRD"], {"CardCode": "CardCode"}, CardName="CardName")
 
@@ -127,3 +132,8 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     return orphans(sourced_items(t), t["OCRD"], {"CardCode": "CardCode"}).select(
         "ItemCode", "ItemName", F.col("CardCode").alias("FournisseurInexistant")
     )
+
+
+@rule("SUP-05-price", MISSING, "Sourced bought items without any price", "OITM ITM1", "ItemCode", variant=True)
+def _(t: TableMap, as_of: AsOf) -> DataFrame:
+    return unpriced(sourced_items(t), t).select("ItemCode", "ItemName", F.col("CardCode").alias("Fournisseur"))

@@ -26,6 +26,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     yield session
     session.stop()
 

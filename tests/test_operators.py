@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievecraft.operators import (
-    attach, cardinality, compare, copies, duplicates, in_order, latest, missing, orphans, self_loops, stale,
-    status_conflict,
+    attach, cardinality, compare, copies, cycle_members, deeper_than, duplicates, in_order, latest, missing, orphans,
+    self_loops, stale, status_conflict,
 )
 
 
@@ -140,3 +141,64 @@ def test_in_order(spark):
     df = spark.createDataFrame([(1, "b"), (None, "c"), (2, "z"), (2, "a")], "n int, t string")
     assert [tuple(r) for r in in_order(df, {"n": "desc"}).collect()] == [(2, "a"), (2, "z"), (1, "b"), (None, "c")]
     assert [r.n for r in in_order(df, {"n": "asc"}).collect()] == [None, 1, 2, 2]
+
+
+GRAPHS = {
+    "chain": [("a", "b"), ("b", "c"), ("c", "d")],
+    "loop": [("a", "a"), ("a", "b")],
+    "ring": [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "a")],
+    "bridge": [("a", "b"), ("b", "a"), ("b", "m"), ("m", "x"), ("x", "y"), ("y", "x")],
+    "bridge against the order": [("x", "y"), ("y", "x"), ("y", "m"), ("m", "a"), ("a", "b"), ("b", "a")],
+    "two rings on one node": [("a", "b"), ("b", "a"), ("a", "c"), ("c", "a")],
+    "diamond": [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "f")],
+}
+
+
+def below(edges):
+    """Nodes to the nodes some path leads to."""
+    found = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    while True:
+        wider = {a: seen | {c for b in seen for c in found.get(b, ())} for a, seen in found.items()}
+        if wider == found:
+            return found
+        found = wider
+
+
+def depth_over(edges, node, levels):
+    layer = {node}
+    for _ in range(levels + 1):
+        layer = {b for a, b in edges if a in layer}
+    return bool(layer)
+
+
+@pytest.fixture(scope="module")
+def graphs():
+    """The named graphs and random ones, with node names of their own."""
+    draw = random.Random(5)
+    found = dict(GRAPHS)
+    for size in range(3, 11):
+        for density in (1.0, 1.3, 2.0):
+            nodes = [f"{i:02d}" for i in range(size)]
+            found[f"random {size} {density}"] = [
+                (draw.choice(nodes), draw.choice(nodes)) for _ in range(int(size * density))
+            ]
+    return [(f"{name}/{a}", f"{name}/{b}") for name, edges in found.items() for a, b in edges]
+
+
+def test_cycle_members(spark, graphs):
+    df = spark.createDataFrame(graphs + [("gap", None), (None, "gap")], "p string, c string")
+    expected = sorted(node for node, seen in below(graphs).items() if node in seen)
+    assert [node for (node,) in rows(cycle_members(df, "p", "c"))] == expected
+
+
+def test_no_cycle_members(spark):
+    df = spark.createDataFrame(GRAPHS["diamond"], "p string, c string")
+    assert rows(cycle_members(df, "p", "c")) == []
+    assert rows(cycle_members(df.limit(0), "p", "c")) == []
+
+
+@pytest.mark.parametrize("levels", [0, 2, 4])
+def test_deeper_than(spark, graphs, levels):
+    df = spark.createDataFrame(graphs, "p string, c string")
+    expected = sorted({a for a, _ in graphs if depth_over(graphs, a, levels)})
+    assert [node for (node,) in rows(deeper_than(df, "p", "c", levels))] == expected
