@@ -46,25 +46,17 @@ def attach(df: DataFrame, ref: DataFrame, on: Mapping[str, str], how: str = "lef
     return df.join(side, _match(on), how).drop(*(f"__{left}" for left in on))
 
 
-def orphans(
-    df: DataFrame,
-    ref: DataFrame,
-    on: Mapping[str, str],
-    residual: Column | None = None,
-    many: bool = False,
-) -> DataFrame:
+def orphans(df: DataFrame, ref: DataFrame, on: Mapping[str, str], residual: Column | None = None) -> DataFrame:
     """Rows of ``df`` without a match in ``ref``; a NULL key never matches.
 
     ``residual`` is a further condition a match must meet, over columns of both
-    sides. Set ``many`` when ``ref`` is a detail table with any number of rows per
-    key: its keys are then made distinct before they are shuffled.
+    sides. The keys of ``ref`` are made distinct first, so that one that occurs
+    very often reaches the join as one row.
     """
-    if many:
-        keys = splittable(ref.select(*_keys(on)).distinct())
-        return df.join(keys, _match(on), "left_anti")
     extra = [] if residual is None else [F.col(c) for c in ref.columns if c not in on.values()]
     condition = _match(on) if residual is None else _match(on) & residual
-    return df.join(ref.select(*_keys(on), *extra), condition, "left_anti")
+    keys = ref.select(*_keys(on), *extra).distinct()
+    return df.join(splittable(keys), condition, "left_anti")
 
 
 def status_conflict(

@@ -52,7 +52,7 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
 
 @rule("BOM-02", MISSING, "Bills of materials without components", "OITT ITT1 OITM", "Parent")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    bare = orphans(t["OITT"], t["ITT1"], {"Code": "Father"}, many=True)
+    bare = orphans(t["OITT"], t["ITT1"], {"Code": "Father"})
     return with_parent(splittable(bare), t["OITM"], "Code").select(F.col("Code").alias("Parent"), "ParentName", "TreeType")
 
 

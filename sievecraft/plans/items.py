@@ -27,8 +27,10 @@ row_rule("ITM-01", MISSING, "Items without an inventory unit", "OITM", lambda as
 
 @rule("ITM-02", MISSING, "Items without a unit other than the inventory unit", "OITM UGP1", "ItemCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    other_unit = F.col("UomEntry") != F.col("IUoMEntry")
-    return orphans(t["OITM"], t["UGP1"], {"UgpEntry": "UgpEntry"}, residual=other_unit).select(
+    # A group holds another unit when its lowest or its highest unit is another.
+    units = t["UGP1"].groupBy("UgpEntry").agg(F.min("UomEntry").alias("lowest"), F.max("UomEntry").alias("highest"))
+    other_unit = (F.col("lowest") != F.col("IUoMEntry")) | (F.col("highest") != F.col("IUoMEntry"))
+    return orphans(t["OITM"], units, {"UgpEntry": "UgpEntry"}, residual=other_unit).select(
         *ITEM, "InvntryUom", "UgpEntry", F.lit(None).cast("int").alias("UomEntry")
     )
 

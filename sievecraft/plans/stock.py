@@ -60,7 +60,7 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
         .agg(F.bool_and(F.coalesce("coded", F.lit(False))).alias("located"))
         .filter("located")
     )
-    loose = orphans(stock_in_hand(t), splittable(placed), {"ItemCode": "ItemCode", "WhsCode": "WhsCode"})
+    loose = orphans(stock_in_hand(t), placed, {"ItemCode": "ItemCode", "WhsCode": "WhsCode"})
     items = active_items(t).select("ItemCode", "ItemName").distinct()
     return named(splittable(loose).distinct(), items).select("ItemCode", "ItemName", "WhsCode", "OnHand")
 

@@ -26,7 +26,7 @@ def suppliers(t: TableMap) -> DataFrame:
 
 def unpriced(items: DataFrame, t: TableMap) -> DataFrame:
     """Items without a positive price in any list."""
-    return orphans(items, t["ITM1"].filter(F.col("Price") > 0), {"ItemCode": "ItemCode"}, many=True)
+    return orphans(items, t["ITM1"].filter(F.col("Price") > 0), {"ItemCode": "ItemCode"})
 
 
 def items_with_supplier(t: TableMap) -> DataFrame:
@@ -115,7 +115,7 @@ row_rule(
 
 @rule("SUP-11", MISSING, "Suppliers without a contact person", "OCRD OCPR", "CardCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return orphans(suppliers(t), t["OCPR"], {"CardCode": "CardCode"}, many=True).select(
+    return orphans(suppliers(t), t["OCPR"], {"CardCode": "CardCode"}).select(
         "CardCode", "CardName", "Phone1", "E_Mail"
     )
 
