@@ -35,10 +35,8 @@ def or_zero(column: Column | str) -> Column:
 def label(code: Column | str, labels: Mapping[int, str], default: str) -> Column:
     """The text of a code."""
     c = _column(code)
-    text = None
-    for value, name in labels.items():
-        text = (F if text is None else text).when(c == value, F.lit(name))
-    return F.lit(default) if text is None else text.otherwise(F.lit(default))
+    texts = [F.when(c == value, F.lit(text)) for value, text in labels.items()]
+    return F.coalesce(*texts, F.lit(default))
 
 
 def _column(column: Column | str) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime
 import re
+import tempfile
 
 import pytest
 
 import sievecraft
-from sievecraft import RULES, from_folder
+from sievecraft import RULES, from_database, from_folder
 
 AS_OF = datetime.date(2001, 8, 1)
 ANTI = "BOM-01 BOM-02 BOM-13 BOM-14 SUP-11 SUP-12 SUP-13 ITM-02 ITM-09 SAL-04 STK-03".split()
@@ -102,3 +103,18 @@ def test_the_pack_reads_each_source_once(tables):
     sources = {RULES[rule_id].source.name: RULES[rule_id].source for rule_id in row_rules}
     assert len(row_rules) > 40 and len(sources) < 10
     assert pack.count("FileScan parquet") <= 1 + sum(len(source.tables) for source in sources.values())
+
+
+def test_bucketed_tables_are_joined_without_a_shuffle(spark, configured, business_folder):
+    configured(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__sources__bucketing__autoBucketedScan__enabled="true")
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed")
+    for name in ("OITM", "OITW"):
+        table = spark.read.parquet(f"{business_folder}/{name}")
+        table.write.bucketBy(8, "ItemCode").sortBy("ItemCode").option("path", f"{folder}/{name}").mode(
+            "overwrite"
+        ).saveAsTable(f"bucketed.{name}")
+    found = sievecraft.check("STK-02", from_database(spark, "bucketed"), AS_OF)
+    assert "SortMergeJoin" in plan(found) and "Exchange" not in plan(found)
+    assert found.count() == 250
+    spark.sql("DROP DATABASE bucketed CASCADE")
