@@ -89,7 +89,10 @@ row_rule(
 )
 
 
-@rule("STK-06", INCONSISTENT, "Stock without a movement for a year", "OITM OITW OINM", "ItemCode WhsCode", {"JoursSansMouvement": "desc"})
+@rule(
+    "STK-06", INCONSISTENT, "Stock without a movement for a year", "OITM OITW OINM", "ItemCode WhsCode",
+    {"JoursSansMouvement": "desc"},
+)
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
     idle = stale(
         stock_in_hand(t), t["OINM"], {"ItemCode": "ItemCode", "WhsCode": "Warehouse"}, "DocDate",

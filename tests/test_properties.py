@@ -10,7 +10,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import sievecraft
-from sievecraft import RULES
 from sievecraft.sources import SCHEMAS
 
 AS_OF = datetime.date(2001, 8, 1)
