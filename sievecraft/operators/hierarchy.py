@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import shared_folder
 from .references import attach, splittable
 
 
@@ -37,8 +38,9 @@ def cycle_members(edges: DataFrame, parent: str, child: str) -> DataFrame:
     on both, so links between differing nodes are dropped, until none is. The work
     of a round grows with the links left, and the rounds with the longest path.
 
-    Rounds are cut by ``checkpoint``, so the session needs a checkpoint folder.
+    Rounds are cut by ``checkpoint`` into the folder the session names.
     """
+    shared_folder(edges.sparkSession)
     links = edges.select(F.col(parent).alias("source"), F.col(child).alias("target")).dropna().distinct()
     links, left = _trimmed(links.checkpoint())
     while left:
