@@ -1 +1,27 @@
-"""The corpus pipeline."""
+"""From raw documents to training records, stage by stage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sievecraft.llm.minhash_dedup import near_duplicates
+from sievecraft.llm.scratch import settled
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    dropped = near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti")
+
+
+STAGES = [("near_duplicates", one_of_each_group)]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, each stage's result written and read again in between."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
