@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +26,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark context.
+
+    Needless where it is installed on them; the archive is a driver file that Spark distributes.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sievecraft_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = f"{tempfile.mkdtemp(prefix='run-')}/{package.name}"
+    context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+    context._sievecraft_shipped = True
