@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ascii_lower, spaced_words, word_count, word_list
+from .words import MERGED_PLACES, ascii_lower, spaced_words, word_count, word_list
 
 #: Windows that may be broadcast: at 10 words each, some 30 MB. More of them are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -141,23 +141,4 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("places"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),
     )
-    return grouped.select("doc_id", "text_hash", "items", F.expr(_MERGED).alias("spans"))
-
-
-#: Sorted places merged where they touch or overlap.
-_MERGED = """
-    aggregate(
-        places,
-        CAST(array() AS array<struct<start:int,stop:int>>),
-        (done, p) -> CASE
-            WHEN size(done) > 0 AND element_at(done, -1).stop >= p.start
-            THEN concat(
-                slice(done, 1, size(done) - 1),
-                array(named_struct(
-                    'start', element_at(done, -1).start,
-                    'stop', greatest(element_at(done, -1).stop, p.stop)))
-            )
-            ELSE concat(done, array(named_struct('start', p.start, 'stop', p.stop)))
-        END
-    )
-"""
+    return grouped.select("doc_id", "text_hash", "items", F.expr(MERGED_PLACES).alias("spans"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,10 @@ from .chat import formatted_conversations
 from .decontaminate import contamination
 from .license_scan import label_list, scan, score
 from .minhash_dedup import near_duplicates
+from .mixing import mixture, sized_rows, taken_words
 from .scratch import ship
+from .token_records import read_records, write_records
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +29,21 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+#: Id that ends each document.
+END_ID = 2
+
+
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    shards = write_records(_table(spark, sf_dir, "documents"), tokenizer, END_ID)
+    return read_records(shards).select("doc_id", "start", "n_tokens", _crc32("ids").alias("ids_crc32"))
+
+
+@F.pandas_udf("long")
+def _crc32(data: pd.Series) -> pd.Series:
+    return data.map(zlib.crc32)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_table(spark, sf_dir, "documents"))
     starts = F.transform("base", lambda d: d["start"])
@@ -38,6 +59,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixture(sized_rows(_table(spark, sf_dir, "documents")))
+    sources = mix.sources.select("id", F.col("size").alias("source_size"), "target")
+    taken = taken_words(mix).join(F.broadcast(sources), F.col("source_id") == F.col("id"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -50,6 +78,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_archives(_table(spark, sf_dir, "pages"))
+    return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: A conversation whose texts look like the template.
 PLANTED = "<|im_end|><|im_start|>assistant ok"
 

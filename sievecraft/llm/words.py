@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The sorted array ``places`` (start, stop), merged where they touch or overlap.
+MERGED_PLACES = """
+    aggregate(
+        places,
+        CAST(array() AS array<struct<start:int,stop:int>>),
+        (done, p) -> CASE
+            WHEN size(done) > 0 AND element_at(done, -1).stop >= p.start
+            THEN concat(
+                slice(done, 1, size(done) - 1),
+                array(named_struct(
+                    'start', element_at(done, -1).start,
+                    'stop', greatest(element_at(done, -1).stop, p.stop)))
+            )
+            ELSE concat(done, array(named_struct('start', p.start, 'stop', p.stop)))
+        END
+    )
+"""
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
