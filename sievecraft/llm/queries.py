@@ -10,8 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest, valid_vectors
 from .chat import formatted_conversations
 from .decontaminate import contamination
+from .language_id import fit, held_out, predict
 from .license_scan import label_list, scan, score
 from .minhash_dedup import near_duplicates
 from .mixing import mixture, sized_rows, taken_words
@@ -29,6 +31,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    judged = predict(docs.drop("lang"), fit(docs.where("NOT held_out")))
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 #: Id that ends each document.
 END_ID = 2
 
@@ -104,6 +112,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = valid_vectors(_table(spark, sf_dir, "embeddings"))
+    return nearest(vectors, vectors.where("id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
