@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.references import splittable
 from .components import components
-from .near import close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
+from .near import SET_BLOCK, SIGNATURE_BLOCK, close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
 from .scratch import settled
 from .shingles import signature, word_shingles
 
@@ -74,7 +74,7 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     met = met.join(splittable(sets.select("node", "signature")), F.col("id") == F.col("node")).drop("id")
     near_type = f"a {sets.schema['node'].dataType.simpleString()}, b {sets.schema['node'].dataType.simpleString()}"
     near = per_block_pair(
-        in_block_pairs(met, F.xxhash64("node", F.lit(1))), partial(close_links, threshold=THRESHOLD), near_type
+        in_block_pairs(met, F.xxhash64("node", F.lit(1)), SIGNATURE_BLOCK), partial(close_links, threshold=THRESHOLD), near_type
     )
     families = components(near.distinct())
     sizes = families.groupBy("component").agg(F.count("*").alias("members"))
@@ -85,7 +85,7 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     texts = given.join(splittable(wanted), F.col("doc_id") == F.col("node"))
     filled = _with_sets(texts, width).dropDuplicates(["node", "fingerprint"]).drop("fingerprint")
     return per_block_pair(
-        in_block_pairs(filled, F.xxhash64("node", F.lit(1))),
+        in_block_pairs(filled, F.xxhash64("node", F.lit(1)), SET_BLOCK),
         partial(similar_links, threshold=THRESHOLD, percent=percent),
         near_type,
     )

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..operators.references import splittable
 
-BLOCK = 256
+#: Rows of a block that is compared by signatures, and of one that is compared by sets.
+SIGNATURE_BLOCK, SET_BLOCK = 1024, 512
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(splittable(counts), F.col("key") == F.col("own")).drop("own")
 
 
-def in_block_pairs(rows: DataFrame, place: Column, size: int = BLOCK) -> DataFrame:
+def in_block_pairs(rows: DataFrame, place: Column, size: int) -> DataFrame:
     """Every row once for each pair of blocks of its group that has its block; ``block`` is its own, ``i`` <= ``j``.
 
     ``rows`` has ``key`` and ``members``; ``place`` is a hash of the row that deals it to one
@@ -86,12 +87,12 @@ def _starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def signatures(table: pa.Table) -> np.ndarray:
-    """The ``signature`` column as a matrix of 16-bit slots."""
+def signatures(table: pa.Table, bits: int) -> np.ndarray:
+    """The ``signature`` column as a matrix of slots."""
     column = table.column("signature").combine_chunks()
     data = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     raw = b"".join(data.to_pylist())
-    return np.frombuffer(raw, dtype=np.uint16).reshape(table.num_rows, -1)
+    return np.frombuffer(raw, dtype=f"u{bits // 8}").reshape(table.num_rows, -1)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,9 +110,9 @@ def sides(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, second if len(second) else first
 
 
-def close_links(table: pa.Table, starts: np.ndarray, threshold: int) -> pa.Table:
+def close_links(table: pa.Table, starts: np.ndarray, threshold: int, bits: int = 16) -> pa.Table:
     """A spanning forest of the rows of each group whose signatures differ in at most ``threshold`` slots."""
-    slots, blocks = signatures(table), table.column("block").to_numpy()
+    slots, blocks = signatures(table, bits), table.column("block").to_numpy()
     crossing = table.column("i").to_numpy() != table.column("j").to_numpy()
     sizes = np.diff(starts)
     pairs = starts[:-1][(sizes == 2) & ~crossing[starts[:-1]]]
@@ -156,13 +157,15 @@ def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows or [none]), np.concatenate(columns or [none])
 
 
-def similar_links(table: pa.Table, starts: np.ndarray, threshold: int, percent: int) -> pa.Table:
+def similar_links(
+    table: pa.Table, starts: np.ndarray, threshold: int, percent: int, bits: int = 16
+) -> pa.Table:
     """A spanning forest of the rows of each group whose sets (``shingles``) have that Jaccard similarity.
 
     Pairs whose signatures differ in more than ``threshold`` slots are left out, and so are
     pairs already connected; the others are compared on their full sets, closest first.
     """
-    slots, blocks = signatures(table), table.column("block").to_numpy()
+    slots, blocks = signatures(table, bits), table.column("block").to_numpy()
     crossing = table.column("i").to_numpy() != table.column("j").to_numpy()
     column = table.column("shingles").combine_chunks()
     lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
