@@ -15,6 +15,7 @@ from .chat import formatted_conversations
 from .decontaminate import contamination
 from .language_id import fit, held_out, predict
 from .license_scan import label_list, scan, score
+from .line_dedup import line_classes
 from .minhash_dedup import near_duplicates
 from .mixing import mixture, sized_rows, taken_words
 from .scratch import ship
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
