@@ -1,26 +1,72 @@
-"""From raw documents to training records, stage by stage."""
+"""From raw documents to training records, stage by stage.
+
+Every stage works on all that the stage before it kept, and its result is written as Parquet and
+read again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievecraft.llm.decontaminate import decontaminate
+from sievecraft.llm.language_id import fit, held_out, predict
+from sievecraft.llm.minhash_dedup import drop_near_duplicates
+from sievecraft.llm.mixing import mixed_documents
+from sievecraft.llm.scratch import settled, ship
+from sievecraft.llm.token_records import read_records, summary, write_records
+
+#: Id that ends each document.
+END_ID = 2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sets ``lang`` to the predicted language; documents without a letter or far from all languages go.
+
+    Languages are learned from the labelled documents that are not held out.
+    """
+    judged = predict(docs, fit(docs.where(~held_out())))
+    named = judged.where("NOT rejected").withColumn("lang", F.col("lang_pred"))
+    return named.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of ``benchmark`` go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
-from sievecraft.llm.minhash_dedup import near_duplicates
-from sievecraft.llm.scratch import settled
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to weights 5, 2, 1: a document appears once for each pass in which blocks of it were drawn."""
+    return mixed_documents(docs)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as binary records; what reading them back gives: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
+    shards = write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return summary(read_records(shards))
 
 
-STAGES = [("near_duplicates", one_of_each_group)]
+STAGES = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_records", token_records),
+]
 
+#: SQL expresses neither the classifier nor the tokenizer; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, each stage's result written and read again in between."""
+    """The last stage's rows over ``documents``."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name)

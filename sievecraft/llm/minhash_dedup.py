@@ -35,7 +35,7 @@ GUARANTEED = 2 * (SLOTS // CHUNK) - 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs`` (``doc_id``, ``text``).
 
     Two texts are linked if their sets of distinct ``width``-word shingles have a Jaccard
     similarity of at least ``percent`` / 100. ``component_id`` is the smallest doc_id reachable over links.
@@ -45,7 +45,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     the class of their set and are kept only if that class has no doc_id. Other columns,
     whatever their names, are not read.
     """
-    given = docs.select("doc_id", "text")
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     seen = settled(_signed(given, width), "signed")
     sets = settled(
         seen.where("n_shingles > 0")
@@ -60,11 +60,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = classes.select("own", F.coalesce("component", "node").alias("smallest"))
     placed = seen.join(splittable(classes), F.col("fingerprint") == F.col("own"), "left")
     component = F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return placed.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    dropped = near_duplicates(docs, width, percent).where("NOT kept").select(
+        F.col("doc_id").alias("__own"), F.col("text_hash").alias("__own_hash")
+    )
+    same = docs["doc_id"].eqNullSafe(F.col("__own")) & (F.xxhash64(docs["text"]) == F.col("__own_hash"))
+    return docs.join(splittable(dropped.distinct()), same, "left_anti")
+
+
 def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     keys = F.array(*_key_columns())
     keyed = sets.select("node", F.posexplode(keys)).select(
@@ -82,7 +91,7 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
         F.col("node").alias("id"), F.xxhash64("component").alias("key"), "members"
     )
     wanted = sets.select("node", "fingerprint").join(member, F.col("node") == F.col("id")).drop("id")
-    texts = given.join(splittable(wanted), F.col("doc_id") == F.col("node"))
+    texts = given.drop("text_hash").join(splittable(wanted), F.col("doc_id") == F.col("node"))
     filled = _with_sets(texts, width).dropDuplicates(["node", "fingerprint"]).drop("fingerprint")
     return per_block_pair(
         in_block_pairs(filled, F.xxhash64("node", F.lit(1)), SET_BLOCK),
@@ -112,15 +121,16 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s, SLOTS).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "fingerprint", "signature"],
+                names=["doc_id", "text_hash", "n_shingles", "fingerprint", "signature"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, fingerprint binary, signature binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, fingerprint binary, signature binary")
 
 
 def _with_sets(texts: DataFrame, width: int) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from .line_dedup import line_classes
 from .minhash_dedup import near_duplicates
 from .mixing import mixture, sized_rows, taken_words
 from .scratch import ship
-from .token_records import read_records, write_records
+from .token_records import read_records, summary, write_records
 from .warc import read_archives, write_archives
 
 
@@ -33,7 +31,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+    found = near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +48,7 @@ END_ID = 2
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     shards = write_records(_table(spark, sf_dir, "documents"), tokenizer, END_ID)
-    return read_records(shards).select("doc_id", "start", "n_tokens", _crc32("ids").alias("ids_crc32"))
-
-
-@F.pandas_udf("long")
-def _crc32(data: pd.Series) -> pd.Series:
-    return data.map(zlib.crc32)
+    return summary(read_records(shards))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

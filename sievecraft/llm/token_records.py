@@ -21,6 +21,7 @@ from functools import cache
 from typing import BinaryIO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -154,6 +155,16 @@ def read_records(shards: DataFrame, seed: int | None = None) -> DataFrame:
     return placed.repartition(max(1, count), "shard").mapInArrow(run, kind)
 
 
+def summary(records: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and the CRC-32 of the ids, from ``read_records``."""
+    crc32 = F.pandas_udf(_crc32, "long")
+    return records.select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
+
+
+def _crc32(data: pd.Series) -> pd.Series:
+    return data.map(zlib.crc32)
+
+
 def _records(shard: dict, seed: int | None, rows: int = 256) -> Iterator[pa.RecordBatch]:
     with opened(shard["index"]) as source:
         index = np.frombuffer(source.read(), INDEX)
