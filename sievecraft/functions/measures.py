@@ -18,13 +18,34 @@ def percentage(part: Column | str, whole: Column | str) -> Column:
 
     Stays in decimals, so money is never rounded through binary fractions.
     """
-    ratio = _column(part) * 100 / F.nullif(_column(whole), F.lit(0).cast("decimal(19,6)"))
-    return F.round(ratio, 2).cast("decimal(38,2)")
+    hundredths = _quotient(_millionths(part) * 10_000, F.nullif(_millionths(whole), F.lit(0).cast("decimal(20,0)")))
+    return _hundredths(hundredths)
 
 
 def rounded_product(a: Column | str, b: Column | str) -> Column:
     """a * b to two decimals."""
-    return F.round(_column(a) * _column(b), 2).cast("decimal(38,2)")
+    product = _millionths(a).cast("decimal(19,0)") * _millionths(b).cast("decimal(19,0)")
+    return _hundredths(_quotient(product, F.lit(10**10).cast("decimal(11,0)")))
+
+
+def _millionths(amount: Column | str) -> Column:
+    """The amount as a whole number of its smallest unit."""
+    return (_column(amount).cast("decimal(20,6)") * F.lit(10**6).cast("decimal(7,0)")).cast("decimal(20,0)")
+
+
+def _quotient(number: Column, divisor: Column) -> Column:
+    """The whole number nearest to the quotient of two whole numbers, halves away from zero.
+
+    Decided on the remainder: a decimal quotient would be rounded to its own scale first.
+    """
+    rest = number % divisor
+    whole = ((number - rest) / divisor).cast("decimal(30,0)")
+    step = F.when((number < 0) == (divisor < 0), F.lit(1)).otherwise(F.lit(-1))
+    return F.when(F.abs(rest) >= F.abs(divisor) - F.abs(rest), whole + step).otherwise(whole)
+
+
+def _hundredths(number: Column) -> Column:
+    return (number.cast("decimal(30,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(38,2)")
 
 
 def or_zero(column: Column | str) -> Column:

@@ -21,6 +21,7 @@ def cardinality(
     low: int = 0,
     high: int | None = None,
     per_copy: bool = False,
+    hot: bool = True,
 ) -> DataFrame:
     """Distinct rows of ``df`` whose detail counts all lie between ``low`` and ``high``.
 
@@ -28,7 +29,10 @@ def cardinality(
     per key before the join. Rows without details count 0. Distinct counts stay as
     they are when rows of ``df`` repeat; for plain counts set ``per_copy``, which
     multiplies them by the number of equal rows, as counting after a join would.
+    ``hot=False`` states that no key occurs often in ``df``, as where it is its own code, and
+    spares the shuffles for splitting.
     """
+    spread = splittable if hot else (lambda rows: rows)
     per_key = details.groupBy(*on.values()).agg(*(c.alias(name) for name, c in counts.items()))
 
     def in_bounds(name: str) -> Column:
@@ -39,13 +43,13 @@ def cardinality(
     how = "left" if low <= 0 else "inner"
     carried = {name: name for name in counts}
     if per_copy:
-        rows = attach(copies(df, *df.columns, count="__copies"), splittable(per_key), on, how, **carried)
+        rows = attach(copies(df, *df.columns, count="__copies"), spread(per_key), on, how, **carried)
         totals = {name: F.coalesce(F.col(name) * F.col("__copies"), F.lit(0)) for name in counts}
         return rows.withColumns(totals).drop("__copies").filter(wanted)
     # Made distinct after the join, when few rows are left to shuffle for it.
     if how == "inner":
-        rows = attach(df, splittable(per_key.filter(wanted)), on, how, **carried)
+        rows = attach(df, spread(per_key.filter(wanted)), on, how, **carried)
     else:
-        rows = attach(df, splittable(per_key), on, how, **carried)
+        rows = attach(df, spread(per_key), on, how, **carried)
         rows = rows.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in counts}).filter(wanted)
-    return splittable(rows).distinct()
+    return spread(rows).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .checkpoints import shared_folder
@@ -21,10 +21,16 @@ def deeper_than(edges: DataFrame, parent: str, child: str, levels: int) -> DataF
     level is one semi-join of the edges, whatever the number of paths, and a cycle
     counts as endless depth.
     """
-    links = edges.select(F.col(parent).alias("node"), F.col(child).alias("child"))
+    links = edges.select(F.col(parent).alias("node"), F.col(child).alias("child")).distinct()
     deep = links.select("node").distinct()
-    for _ in range(levels):
-        deep = _among(links, "child", deep.select("node")).select("node").distinct()
+    if levels > 0:
+        # Links to nodes without a child end there: one semi-join leaves them out of all others.
+        shared_folder(edges.sparkSession)
+        links = _among(links, "child", deep).checkpoint()
+        deep = links.select("node").distinct()
+    for _ in range(levels - 1):
+        names = deep.select(F.col("node").alias("__name"))
+        deep = links.join(names, F.col("child") == F.col("__name"), "left_semi").select("node").distinct()
     return deep
 
 
@@ -42,14 +48,24 @@ def cycle_members(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """
     shared_folder(edges.sparkSession)
     links = edges.select(F.col(parent).alias("source"), F.col(child).alias("target")).dropna().distinct()
-    links, left = _trimmed(links.checkpoint())
+    links, _ = _stored(links)
+    # A link of a node to itself is a cycle found; as an entry and an exit it would keep all between two of them.
+    alone = links.filter("source = target").select(F.col("source").alias("node"))
+    links, left = _trimmed(*_stored(links.filter("source <> target")))
     while left:
         agreeing = _same_label(_same_label(links, "source", "target"), "target", "source")
-        links, still = _trimmed(agreeing)
+        links, still = _trimmed(*_stored(agreeing))
         if still == left:
             break
         left = still
-    return links.select(F.col("source").alias("node")).distinct()
+    return links.select(F.col("source").alias("node")).union(alone).distinct()
+
+
+def _stored(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """A checkpoint of ``df`` and its number of rows, or another count, from the same job."""
+    rows = Observation()
+    kept = df.observe(rows, (F.count("*") if counted is None else counted).alias("n")).checkpoint()
+    return kept, rows.get["n"]
 
 
 def _among(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
@@ -58,12 +74,10 @@ def _among(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return rows.join(other, F.col(column) == F.col("__name"), "left_semi")
 
 
-def _trimmed(links: DataFrame) -> tuple[DataFrame, int]:
-    left = links.count()
+def _trimmed(links: DataFrame, left: int) -> tuple[DataFrame, int]:
     while left:
         inner = _among(links, "target", links.select("source").distinct())
-        inner = _among(inner, "source", links.select("target").distinct()).checkpoint()
-        still = inner.count()
+        inner, still = _stored(_among(inner, "source", links.select("target").distinct()))
         if still == left:
             break
         links, left = inner, still
@@ -85,9 +99,9 @@ def _same_label(links: DataFrame, start: str, end: str) -> DataFrame:
             "node",
             F.greatest("label", "offer").alias("label"),
             F.coalesce(F.col("offer") > F.col("label"), F.lit(False)).alias("grew"),
-        ).checkpoint()
-        growing = not grown.filter("grew").isEmpty()
+        )
+        grown, growing = _stored(grown, F.count_if("grew"))
         labels = grown.drop("grew")
     both = attach(links, splittable(labels), {start: "node"}, "inner", first="label")
     both = attach(both, splittable(labels), {end: "node"}, "inner", second="label")
-    return both.filter(F.col("first") == F.col("second")).select("source", "target").checkpoint()
+    return both.filter(F.col("first") == F.col("second")).select("source", "target")

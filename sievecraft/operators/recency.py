@@ -11,15 +11,16 @@ from .references import attach, splittable
 
 
 def stale(
-    df: DataFrame, facts: DataFrame, on: Mapping[str, str], date: str, before: Column, last: str
+    df: DataFrame, facts: DataFrame, on: Mapping[str, str], date: str, before: Column, last: str, hot: bool = True
 ) -> DataFrame:
     """Rows of ``df`` with no fact, or whose newest fact lies before a day.
 
     The newest date, NULL without a fact, is added as ``last``. Facts are reduced
-    to one row per key, each map task first, before anything is joined.
+    to one row per key, each map task first, before anything is joined. ``hot=False``
+    states that no key occurs often in ``df``, and spares the shuffle for splitting.
     """
     newest = facts.groupBy(*on.values()).agg(F.max(date).alias(last))
-    rows = attach(df, splittable(newest), on, "left", **{last: last})
+    rows = attach(df, splittable(newest) if hot else newest, on, "left", **{last: last})
     return rows.filter(F.col(last).isNull() | (F.col(last) < before))
 
 

@@ -46,17 +46,20 @@ def attach(df: DataFrame, ref: DataFrame, on: Mapping[str, str], how: str = "lef
     return df.join(side, _match(on), how).drop(*(f"__{left}" for left in on))
 
 
-def orphans(df: DataFrame, ref: DataFrame, on: Mapping[str, str], residual: Column | None = None) -> DataFrame:
+def orphans(
+    df: DataFrame, ref: DataFrame, on: Mapping[str, str], residual: Column | None = None, hot: bool = True
+) -> DataFrame:
     """Rows of ``df`` without a match in ``ref``; a NULL key never matches.
 
     ``residual`` is a further condition a match must meet, over columns of both
     sides. The keys of ``ref`` are made distinct first, so that one that occurs
-    very often reaches the join as one row.
+    very often reaches the join as one row. ``hot=False`` states that no key occurs often in
+    ``df`` either, as where the key is its own code, and spares the shuffle for splitting.
     """
     extra = [] if residual is None else [F.col(c) for c in ref.columns if c not in on.values()]
     condition = _match(on) if residual is None else _match(on) & residual
     keys = ref.select(*_keys(on), *extra).distinct()
-    return df.join(splittable(keys), condition, "left_anti")
+    return df.join(splittable(keys) if hot else keys, condition, "left_anti")
 
 
 def status_conflict(

@@ -22,7 +22,7 @@ def with_component(lines: DataFrame, items: DataFrame, **more: str) -> DataFrame
 
 
 def made_without_bom(t: TableMap) -> DataFrame:
-    return orphans(t["OITM"].filter(F.col("PrcrmntMtd") == MADE), t["OITT"], {"ItemCode": "Code"})
+    return orphans(t["OITM"].filter(F.col("PrcrmntMtd") == MADE), t["OITT"], {"ItemCode": "Code"}, hot=False)
 
 
 def bom_lines(t: TableMap) -> DataFrame:
@@ -39,15 +39,18 @@ def bom_headers(t: TableMap) -> DataFrame:
 
 # Lines with the item of their component and the name of their parent.
 BOM_LINES = Source("bill-of-material lines", ("ITT1", "OITM"), bom_lines)
+# Items that are made, but have no header.
+MADE_WITHOUT_BOM = Source("made items without a bill of materials", ("OITM", "OITT"), made_without_bom)
 # Headers with the item they describe.
 BOM_HEADERS = Source("bill-of-material headers", ("OITT", "OITM"), bom_headers)
 LINE = (("Parent", "Father"), "ParentName", ("Component", "Code"), "ComponentName")
 HEADER = (("Parent", "Code"), ("ParentName", "ItemName"))
 
 
-@rule("BOM-01", MISSING, "Made items without a bill of materials", "OITM OITT", "ItemCode")
-def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return made_without_bom(t).select("ItemCode", "ItemName", "PrcrmntMtd")
+row_rule(
+    "BOM-01", MISSING, "Made items without a bill of materials", MADE_WITHOUT_BOM,
+    lambda as_of: F.lit(True), ("ItemCode", "ItemName", "PrcrmntMtd"),
+)
 
 
 @rule("BOM-02", MISSING, "Bills of materials without components", "OITT ITT1 OITM", "Parent")

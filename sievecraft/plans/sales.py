@@ -67,7 +67,7 @@ row_rule(
 
 @rule("SAL-04", MISSING, "Items on sale without any price", "OITM ITM1", "ItemCode", {"ItemCode": "asc"})
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return orphans(t["OITM"].filter(on_sale()), t["ITM1"], {"ItemCode": "ItemCode"}).select(
+    return orphans(t["OITM"].filter(on_sale()), t["ITM1"], {"ItemCode": "ItemCode"}, hot=False).select(
         "ItemCode", "ItemName", "ItmsGrpCod", "OnHand"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import AsOf, blank, days_before, days_since, difference, label, or_zero, percentage, rounded_product
 from ..operators import attach, compare, latest, orphans, splittable, stale
 from .constants import IDLE_STOCK_DAYS, MOVEMENT_TYPES, NEVER_MOVED, OTHER_MOVEMENT, RECENT_DAYS, STOCK_COUNT, YES
-from .items import WAREHOUSE_STOCK
+from .items import WAREHOUSE_STOCK, newest_movements
 from .rule import INCONSISTENT, MISSING, TableMap, row_rule, rule
 
 
@@ -60,9 +60,9 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
         .agg(F.bool_and(F.coalesce("coded", F.lit(False))).alias("located"))
         .filter("located")
     )
-    loose = orphans(stock_in_hand(t), placed, {"ItemCode": "ItemCode", "WhsCode": "WhsCode"})
+    loose = orphans(stock_in_hand(t), placed, {"ItemCode": "ItemCode", "WhsCode": "WhsCode"}, hot=False)
     items = active_items(t).select("ItemCode", "ItemName").distinct()
-    return named(splittable(loose).distinct(), items).select("ItemCode", "ItemName", "WhsCode", "OnHand")
+    return named(loose.distinct(), items).select("ItemCode", "ItemName", "WhsCode", "OnHand")
 
 
 @rule(
@@ -94,12 +94,13 @@ row_rule(
     {"JoursSansMouvement": "desc"},
 )
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
+    known = F.col("ItemCode").isNotNull() & F.col("WhsCode").isNotNull()
+    stock = stock_in_hand(t).withColumn("Place", F.when(known, F.struct("ItemCode", F.col("WhsCode").alias("Warehouse"))))
     idle = stale(
-        stock_in_hand(t), t["OINM"], {"ItemCode": "ItemCode", "WhsCode": "Warehouse"}, "DocDate",
-        days_before(as_of, IDLE_STOCK_DAYS), "moved",
-    ).withColumn("DernierMvt", F.coalesce("moved", F.lit(NEVER_MOVED)))
+        stock, newest_movements(t), {"Place": "Place"}, "DocDate", days_before(as_of, IDLE_STOCK_DAYS), "moved", hot=False
+    ).drop("Place").withColumn("DernierMvt", F.coalesce("moved", F.lit(NEVER_MOVED)))
     items = active_items(t).select("ItemCode", "ItemName", "AvgPrice").distinct()
-    return named(splittable(idle).distinct(), items, AvgPrice="AvgPrice").select(
+    return named(idle.distinct(), items, AvgPrice="AvgPrice").select(
         "ItemCode", "ItemName", "WhsCode", "OnHand", "DernierMvt",
         days_since("DernierMvt", as_of).alias("JoursSansMouvement"),
         rounded_product("OnHand", "AvgPrice").alias("ValeurStock"),

@@ -26,7 +26,7 @@ def suppliers(t: TableMap) -> DataFrame:
 
 def unpriced(items: DataFrame, t: TableMap) -> DataFrame:
     """Items without a positive price in any list."""
-    return orphans(items, t["ITM1"].filter(F.col("Price") > 0), {"ItemCode": "ItemCode"})
+    return orphans(items, t["ITM1"].filter(F.col("Price") > 0), {"ItemCode": "ItemCode"}, hot=False)
 
 
 def items_with_supplier(t: TableMap) -> DataFrame:
@@ -49,7 +49,7 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     items = sourced_items(t).select("ItemCode", "ItemName", F.col("CardCode").alias("FournisseurPrincipal"))
     return cardinality(
         items, t["POR1"], {"ItemCode": "ItemCode"},
-        {"NbFournisseursDifferents": F.count_distinct("CardCode")}, high=1,
+        {"NbFournisseursDifferents": F.count_distinct("CardCode")}, high=1, hot=False,
     )
 
 
@@ -115,7 +115,7 @@ row_rule(
 
 @rule("SUP-11", MISSING, "Suppliers without a contact person", "OCRD OCPR", "CardCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return orphans(suppliers(t), t["OCPR"], {"CardCode": "CardCode"}).select(
+    return orphans(suppliers(t), t["OCPR"], {"CardCode": "CardCode"}, hot=False).select(
         "CardCode", "CardName", "Phone1", "E_Mail"
     )
 
