@@ -289,6 +289,8 @@ class _Best:
             self.add(query_ids[q], hashes[q], row_ids[r], inner_products(rows[r], queries[q]))
 
     def add(self, *columns: np.ndarray) -> None:
+        if not len(columns[0]):
+            return
         self.parts.append(columns)
         self.size += len(columns[0])
         if self.size > self.pending:

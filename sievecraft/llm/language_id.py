@@ -95,8 +95,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         centroids, least = spherical_kmeans(rows, CENTROIDS)
         lang = texts["lang"].iloc[0]
         return pd.DataFrame(
-            {"lang": [lang] * len(least), "least": least, "centroid": [c.tobytes() for c in centroids]},
-            columns=["lang", "least", "centroid"],
+            {
+                "lang": pd.Series([lang] * len(least), dtype=object),
+                "least": least,
+                "centroid": pd.Series([c.tobytes() for c in centroids], dtype=object),
+            }
         )
 
     found = sample.groupBy("lang").applyInPandas(cluster, "lang string, least double, centroid binary")

@@ -105,7 +105,6 @@ SINGLE = [
     (1, "gpl", "redistribute", r"redistribute it and or modify it under the terms of the gnu general public license"),
     (1, "lgpl", "redistribute", r"redistribute it and or modify it under the terms of the gnu lesser general public license"),
     (1, "zlib", "altered", r"altered source versions must be plainly marked as such"),
-    (1, "unlicense", "encumbered", r"free and unencumbered software released into the public domain"),
     (1, "unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
     (1, "wtfpl", "public", r"do what the fuck you want to public license"),
     (1, "bsl-1.0", "boost", r"distributed under the boost software license"),
