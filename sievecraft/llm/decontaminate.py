@@ -1,9 +1,10 @@
 """Finding passages of a benchmark in documents, and removing them.
 
-The benchmark's windows of consecutive words are a hash table that is broadcast while it is
-small. Every window of every document is looked up in it by a hash of its lower-cased words;
-what the hash finds is verified word by word. The documents are read once and only hits are
-shuffled.
+Hashes of the benchmark's windows of consecutive words fill a table of bits, a constant of
+the plan. Every window of every document is looked up in it by a hash of its lower-cased words,
+inside the row of the document. What that lets pass is joined by its words with the windows
+themselves, which are broadcast while they are few. So texts are never repeated or shuffled,
+and only places that may be hits leave a row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .words import MERGED_PLACES, ascii_lower, spaced_words, word_count, word_li
 
 #: Windows that may be broadcast: at 10 words each, some 30 MB. More of them are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Bits of the table for each window, and the least and most bits. A fuller table lets more places pass, no fewer.
+BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 22
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -109,36 +112,58 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """``items`` and merged ``spans`` of each (doc_id, text_hash) with a hit."""
     windows = benchmark_windows(benchmark, width)
     counted = windows.groupBy("length").count().collect()  # at most ``width`` rows
-    lengths = sorted(row["length"] for row in counted)
-    if sum(row["count"] for row in counted) <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+    lengths, total = sorted(row["length"] for row in counted), sum(row["count"] for row in counted)
+    passes = _bit_table(windows, total)
     words = docs.select("doc_id", _text_hash().alias("text_hash"), word_list(spaced_words(F.col("text"))).alias("words"))
     hashed = words.withColumn("hashes", _word_hashes(F.col("words")))
 
-    def lookups(length: int) -> Column:
-        places = F.sequence(F.lit(0), F.size("hashes") - length)
-        return F.when(
-            F.size("hashes") >= length, F.transform(places, lambda i: _window_hash(i, length))
-        ).otherwise(F.array().cast("array<bigint>"))
-
-    lookup = F.concat(*(lookups(n) for n in lengths)) if lengths else F.array().cast("array<bigint>")
-    # Outer, as Spark would repeat the whole computation of the array in a filter for non-empty ones.
-    placed = hashed.withColumn("n", F.size("hashes")).withColumn("lookups", lookup).select(
-        "doc_id", "text_hash", "words", "n", F.posexplode_outer("lookups").alias("place", "lookup")
+    def places(length: int) -> Column:
+        """Starts of windows of this length that pass the bits."""
+        starts = F.sequence(F.lit(0), F.size("hashes") - length)
+        lookups = F.when(F.size("hashes") >= length, F.transform(starts, lambda i: _window_hash(i, length)))
+        return F.array_compact(F.transform(lookups, lambda h, i: F.when(passes(h), i)))
+
+    columns = {f"places{n}": places(n) for n in lengths}
+    found = [_each_window(f"places{n}", n) for n in lengths]
+    nothing = F.array().cast("array<struct<start:int,stop:int,window:string>>")
+    placed = hashed.withColumns(columns).select(
+        "doc_id", "text_hash", F.concat(*(F.coalesce(x, nothing) for x in found), nothing).alias("maybe")
     )
-    met = placed.join(windows, "lookup")
-    # Windows of one length stand behind those of the lengths before it.
-    before, start = F.lit(0), F.col("place")
-    for n in lengths:
-        start = F.when(F.col("length") == n, F.col("place") - before).otherwise(start)
-        before = before + F.greatest(F.col("n") - n + 1, F.lit(0))
-    met = met.withColumn("start", start.cast("int"))
-    places = F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)
-    same = ascii_lower(F.array_join(F.transform(places, lambda k: F.get("words", k)), " "))
-    inside = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n"))
-    verified = met.where(F.when(inside, same == F.col("window")))
+    # Outer, as Spark would repeat the whole computation of the array in a filter for non-empty ones.
+    spread = placed.select("doc_id", "text_hash", F.explode_outer("maybe").alias("m")).select("doc_id", "text_hash", "m.*")
+    known = windows.select("window", "item_ids")
+    verified = spread.join(F.broadcast(known) if total <= BROADCAST_WINDOWS else known, "window")
     grouped = verified.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("places"),
+        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("places"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),
     )
     return grouped.select("doc_id", "text_hash", "items", F.expr(MERGED_PLACES).alias("spans"))
+
+
+def _each_window(starts: str, length: int) -> Column:
+    """The windows of ``words`` at these starts."""
+
+    def window(start: Column) -> Column:
+        taken = F.transform(F.sequence(start, start + (length - 1)), lambda k: F.get("words", k))
+        stop = (start + length).cast("int").alias("stop")
+        return F.struct(start.cast("int").alias("start"), stop, ascii_lower(F.array_join(taken, " ")).alias("window"))
+
+    return F.transform(starts, window)
+
+
+def _bit_table(windows: DataFrame, total: int):
+    """A test of a window's hash that holds for all hashes of ``windows``, and for few others."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_WINDOW * total).bit_length()))
+    word = F.pmod(F.col("lookup"), F.lit(size)).cast("long")
+    filled = windows.select(F.shiftright(word, 5).alias("at"), F.expr("shiftleft(1L, CAST(pmod(lookup, 32) AS INT))").alias("bit"))
+    table = [0] * (size >> 5)
+    for row in filled.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most size / 32 rows
+        table[row["at"]] = row["bits"]
+    # Written as text, the table is one constant for the planner.
+    bits = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+    def passes(lookup: Column) -> Column:
+        place = F.pmod(lookup, F.lit(size))
+        return F.getbit(F.get(bits, F.shiftright(place, 5).cast("int")), F.pmod(lookup, F.lit(32)).cast("int")) == 1
+
+    return passes
