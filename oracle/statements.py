@@ -134,7 +134,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "OCRD",
         pick(
             "OCRD", "CardCode, CardName, Address, MailAddres",
-            f"{SUPPLIER} AND coalesce(Address, '') || coalesce(MailAddres, '') = ''",
+            f"{SUPPLIER} AND coalesce(Address, '') = '' AND coalesce(MailAddres, '') = ''",
         ),
     ),
     "SUP-05": (
@@ -295,7 +295,8 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "OITM",
         pick(
             "OITM", "ItemCode, ItemName, SWeight1, SHeight1, SWidth1, SLength1",
-            "coalesce(SWeight1, 0) * coalesce(SHeight1, 0) = 0 OR coalesce(SWidth1, 0) * coalesce(SLength1, 0) = 0",
+            "coalesce(SWeight1, 0) = 0 OR coalesce(SHeight1, 0) = 0 OR coalesce(SWidth1, 0) = 0"
+            " OR coalesce(SLength1, 0) = 0",
         ),
     ),
     "ITM-19": (
@@ -310,7 +311,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "OITM OITW",
         "SELECT ItemCode, ItemName, count(DISTINCT WhsCode) AS NbEntrepots,"
         " count(DISTINCT concat(coalesce(MinLevel, 0), '/', coalesce(MaxLevel, 0))) AS NbParamSets"
-        f" FROM ({STOCK}) GROUP BY ALL HAVING least(NbEntrepots, NbParamSets) > 1",
+        f" FROM ({STOCK}) GROUP BY ALL HAVING NbEntrepots > 1 AND NbParamSets > 1",
     ),
     "SAL-01": (
         "OCRD", pick("OCRD", "CardCode, CardName, Address, Phone1, E_Mail", f"{ACTIVE_CUSTOMER} AND {nil('Address')}")
