@@ -83,3 +83,29 @@ def test_label(spark):
     rows = [(13,), (99,), (None,)]
     assert values(spark, rows, "c int", label("c", {13: "bill", 14: "credit"}, "other")) == ["bill", "other", "other"]
     assert values(spark, rows, "c int", label("c", {}, "other")) == ["other"] * 3
+
+
+@pytest.mark.parametrize(
+    "a, b, product",
+    [
+        ("0.000005", "999.999999", "0.00"), ("0.005", "1", "0.01"), ("-0.005", "1", "-0.01"), ("-0.004999", "1", "0.00"),
+        ("0.1", "0.05", "0.01"), ("-0.1", "-0.05", "0.01"), ("9999999999999.999999", "1", "10000000000000.00"), (None, "1", None),
+    ],
+)
+def test_products_are_rounded_once(spark, a, b, product):
+    row = [tuple(None if x is None else Decimal(x) for x in (a, b))]
+    found = values(spark, row, "a decimal(19,6), b decimal(19,6)", rounded_product("a", "b"))
+    assert found == [None if product is None else Decimal(product)]
+
+
+@pytest.mark.parametrize(
+    "part, whole, percent",
+    [
+        ("400000000", "8000000000000.000001", "0.00"), ("400000000", "8000000000000", "0.01"), ("1", "3", "33.33"), ("2", "3", "66.67"),
+        ("-1", "8", "-12.50"), ("-0.0005", "10", "-0.01"), ("0.0005", "-10", "-0.01"), ("1", "0", None), ("0", "7", "0.00"),
+    ],
+)
+def test_percentages_are_rounded_once(spark, part, whole, percent):
+    row = [(Decimal(part), Decimal(whole))]
+    found = values(spark, row, "a decimal(19,6), b decimal(19,6)", percentage("a", "b"))
+    assert found == [None if percent is None else Decimal(percent)]

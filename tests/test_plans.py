@@ -118,3 +118,24 @@ def test_bucketed_tables_are_joined_without_a_shuffle(spark, configured, busines
     assert "SortMergeJoin" in plan(found) and "Exchange" not in plan(found)
     assert found.count() == 250
     spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+@pytest.mark.parametrize(
+    "rule_id, most",
+    [
+        ("SUP-02", 4), ("ITM-20", 3), ("STK-06", 7), ("STK-03", 10), ("SUP-11", 3), ("SAL-04", 4), ("ITM-07", 4), ("ITM-21", 4),
+        ("BOM-15-depth", 14),
+    ],
+)
+def test_exchanges(configured, tables, rule_id, most):
+    """What a check may shuffle where nothing is broadcast; SAL-04 with its sort."""
+    configured(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    found = plan(sievecraft.check(rule_id, tables, AS_OF), "simple")
+    assert len(re.findall(r"\bExchange ", found)) <= most
+
+
+def test_only_repeated_keys_are_laid_out(planned):
+    """The range exchange of a list of members stands above the semi-join with the keys that repeat."""
+    for rule_id in ("BOM-08", "SUP-08"):
+        text = planned[rule_id]
+        assert text.index("rangepartitioning") > 0 and "LeftSemi" in text.split("(1) ")[0]
