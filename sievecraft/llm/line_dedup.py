@@ -18,6 +18,7 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +26,14 @@ from ..operators.references import splittable
 from .components import components
 from .near import SET_BLOCK, SIGNATURE_BLOCK, close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
 from .scratch import settled
-from .shingles import character_shingles
+from .shingles import character_shingles, mixed
 
 SHINGLE, SLOTS, ROWS = 8, 60, 5
 #: Signatures of lines with a similarity of 0.8 differ in more slots with a probability under one in a thousand.
 THRESHOLD = 22
 #: Characters whose lines are hashed at a time.
 _CHARS = 1 << 18
-#: Bits of the filter that lets lines of families pass when texts are read again; it is broadcast (2 MB).
+#: Bits of the filters that keys, and lines that are read again, must pass; they are broadcast (2 MB).
 _FILTER = 1 << 24
 
 
@@ -91,8 +92,8 @@ def signatures(lines: list[str]) -> np.ndarray:
         least[row[found], slot[found]] = least[row[found], source[found]]
         row, slot = row[~found], slot[~found]
     least[row, slot] = least[row, filled[row].argmax(axis=1)]
-    mixed = least * np.uint32(0x9E3779B1)
-    return (mixed >> np.uint32(24)).astype(np.uint8)
+    spread = least * np.uint32(0x9E3779B1)
+    return (spread >> np.uint32(24)).astype(np.uint8)
 
 
 def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -122,14 +123,14 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     placed = given.mapInArrow(_printed_lines, f"doc_id {kind}, line int, print binary")
     judged = placed.join(splittable(known), F.col("print") == F.col("own"), "left")
+    head = F.when(F.col("print").isNotNull(), F.col("head"))
     return judged.select(
         "doc_id",
         "line",
-        F.col("head.doc_id").alias("first_doc_id"),
-        F.col("head.line").alias("first_line"),
-        F.coalesce(place.eqNullSafe(F.col("head")), F.lit(False)).alias("same"),
-        F.col("head").isNull().alias("blank"),
-    ).select("doc_id", "line", "first_doc_id", "first_line", (F.col("same") | F.col("blank")).alias("kept"))
+        head["doc_id"].alias("first_doc_id"),
+        head["line"].alias("first_line"),
+        (F.col("print").isNull() | place.eqNullSafe(head)).alias("kept"),
+    )
 
 
 def deduplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -143,12 +144,8 @@ def deduplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _components(given: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    bands = F.array(*(F.substring("signature", at + 1, ROWS) for at in range(0, SLOTS, ROWS)))
-    keyed = classes.select("node", F.posexplode(bands)).select("node", F.xxhash64("pos", "col").alias("key"))
-    # Short keys are enough to leave out those that occur once, and cost less to count.
-    often = keyed.groupBy(F.hash("key").alias("short")).agg(F.count("*").alias("n")).where("n > 1").select("short")
-    several = keyed.join(splittable(often), F.hash("key") == F.col("short"), "left_semi")
-    met = shared_keys(several).select(F.col("node").alias("id"), "key", "members")
+    keyed = _keyed(classes, _repeated(classes))
+    met = shared_keys(keyed).select(F.col("node").alias("id"), "key", "members")
     met = met.join(splittable(classes.select("node", "signature")), F.col("id") == F.col("node")).drop("id")
     near = per_block_pair(
         in_block_pairs(met, F.xxhash64("node", F.lit(1)), SIGNATURE_BLOCK),
@@ -163,37 +160,105 @@ def _components(given: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     wanted = settled(
         member.join(splittable(classes.select("node", "print")), F.col("id") == F.col("node")).drop("id"), "families"
     )
-    texts = given.mapInArrow(partial(_wanted_lines, shared=_filter(wanted)), "found binary, text string").dropDuplicates(["found"])
+    texts = given.mapInArrow(partial(_wanted_lines, shared=_wanted_bits(wanted)), "found binary, text string").dropDuplicates(["found"])
     matched = texts.join(splittable(wanted), F.col("found") == F.col("print")).select("node", "key", "members", "text")
-    filled = matched.mapInArrow(
-        _with_sets, "node long, key long, members long, signature binary, shingles array<bigint>"
-    )
     return components(
         per_block_pair(
-            in_block_pairs(filled, F.xxhash64("node", F.lit(1)), SET_BLOCK),
-            partial(similar_links, threshold=THRESHOLD, percent=percent, bits=8),
+            in_block_pairs(matched, F.xxhash64("node", F.lit(1)), SET_BLOCK),
+            partial(_similar_texts, percent=percent),
             "a long, b long",
         )
     )
 
 
-def _bit(print_: bytes) -> int:
-    return int.from_bytes(print_[:8], "little") % _FILTER
+def _similar_texts(table: pa.Table, starts: np.ndarray, percent: int) -> pa.Table:
+    """``similar_links`` of rows that hold a ``text``: it is shorter than its set, so that is made here."""
+    texts = table.column("text").to_pylist()
+    sets = [character_shingles(text, SHINGLE).view(np.int64) for text in texts]
+    table = table.append_column("signature", pa.array([r.tobytes() for r in signatures(texts)], pa.binary()))
+    table = table.append_column("shingles", pa.array(sets, pa.list_(pa.int64())))
+    return similar_links(table, starts, THRESHOLD, percent, bits=8)
+
+
+def band_keys(rows: list[bytes]) -> np.ndarray:
+    """A key for each band (column) of each signature (row)."""
+    slots = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), SLOTS // ROWS, ROWS).astype(np.uint64)
+    packed = np.broadcast_to(np.arange(SLOTS // ROWS, dtype=np.uint64), slots.shape[:2]).copy()
+    for k in range(ROWS):
+        packed = (packed << np.uint64(8)) | slots[:, :, k]
+    return mixed(packed)
+
+
+def _repeated(classes: DataFrame) -> Broadcast:
+    """A table of bits for the keys that occur more than once; short forms of the keys are sorted to find them."""
+    ranges = max(256, -(-classes.count() // 100_000))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = np.sort((band_keys(batch.column("signature").to_pylist()).ravel() >> np.uint64(32)).astype(np.uint32))
+            borders = np.searchsorted(short, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+            parts = [p.tobytes() for p in np.split(short, borders)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int64()), pa.array(parts, pa.binary())], ["range", "short"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = np.sort(np.frombuffer(b"".join(p for batch in batches for p in batch.column("short").to_pylist()), np.uint32))
+        often = np.unique(short[1:][short[1:] == short[:-1]])
+        yield from _bits(often.astype(np.int64))
 
+    rows = classes.select("signature").mapInArrow(packed, "range long, short binary")
+    return _bit_table(rows.repartition("range").mapInArrow(repeated, _BITS))
 
-def _filter(wanted: DataFrame):
-    """The bits of the wanted lines, as bytes, broadcast. Its size is fixed, whatever their number."""
+
+def _keyed(classes: DataFrame, shared: Broadcast) -> DataFrame:
+    """``node`` and ``key`` for the keys that pass the bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in batches:
-            bits = np.array([_bit(p) for p in batch.column("print").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 5), pa.array(np.int64(1) << (bits & 31))], ["word", "bit"])
+            keys = band_keys(batch.column("signature").to_pylist())
+            row, band = np.nonzero(_passes(table, (keys >> np.uint64(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(pa.array(row)), pa.array(keys[row, band].view(np.int64))], ["node", "key"]
+            )
+
+    return classes.select("node", "signature").mapInArrow(run, "node long, key long")
+
+
+#: Rows of bits: a 32-bit word of the table and its bits.
+_BITS = "word long, bits long"
 
-    words = wanted.select("print").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(_FILTER >> 5, np.int64)
-    found = words.toPandas()
+
+def _bits(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    places = values % _FILTER
+    words, where = np.unique(places >> 5, return_inverse=True)
+    bits = np.zeros(len(words), np.int64)
+    np.bitwise_or.at(bits, where, np.int64(1) << (places & 31))
+    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
+
+
+def _bit_table(rows: DataFrame) -> Broadcast:
+    """Rows of bits as one table, broadcast. Its size is fixed; a full one only lets more pass."""
+    found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most _FILTER / 32 rows
+    table = np.zeros(_FILTER >> 5, np.uint32)
     table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return wanted.sparkSession.sparkContext.broadcast(table.astype(np.uint32))
+    return rows.sparkSession.sparkContext.broadcast(table)
+
+
+def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    places = values % _FILTER
+    return (table[places >> 5] >> (places & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def _print_number(known: bytes) -> int:
+    return int.from_bytes(known[:7], "little")
+
+
+def _wanted_bits(wanted: DataFrame) -> Broadcast:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _bits(np.array([_print_number(p) for p in batch.column("print").to_pylist()], np.int64))
+
+    return _bit_table(wanted.select("print").mapInArrow(run, _BITS))
 
 
 def _each_line(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str]]:
@@ -246,31 +311,12 @@ def _printed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def _wanted_lines(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    table = shared.value
+def _wanted_lines(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = {}
-        for _, _, line in _each_line(iter([batch])):
-            if line:
-                known = fingerprint(line)
-                bit = _bit(known)
-                if table[bit >> 5] >> (bit & 31) & 1:
-                    found[known] = line
+        lines = [line for _, _, line in _each_line(iter([batch])) if line]
+        prints = [fingerprint(line) for line in lines]
+        passed = _passes(shared.value, np.array([_print_number(p) for p in prints], np.int64))
+        found = {prints[k]: lines[k] for k in np.flatnonzero(passed)}
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["found", "text"]
         )
-
-
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        sets = [character_shingles(text, SHINGLE).view(np.int64) for text in texts]
-        rows = signatures(texts) if texts else []
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[batch.column(n) for n in ("node", "key", "members")],
-                pa.array([r.tobytes() for r in rows], pa.binary()),
-                pa.array(sets, pa.list_(pa.int64())),
-            ],
-            names=["node", "key", "members", "signature", "shingles"],
-        )
