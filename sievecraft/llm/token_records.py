@@ -14,31 +14,41 @@ entry for each record: doc_id, whether there is one, place in the data file, and
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import parts
 from .files import make_folder, opened, written
 from .scratch import new_folder, settled
 
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("place", "<u8"), ("ids", "<u8")])
 _LENGTH, _CHECK = struct.Struct("<Q"), struct.Struct("<I")
-#: Pieces whose ids a task remembers; then it starts anew.
-REMEMBERED = 1 << 20
-#: Fixed value: how byte-level BPE cuts a text before it merges.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters that all versions of Unicode class alike.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*+")
+#: Pieces whose ids a worker remembers; then it starts anew.
+REMEMBERED = 1 << 19
+#: Characters that all versions of Unicode class alike, and among them letters and numbers.
+PLAIN = re.compile("[\t\n\r\\x20-\\x7e\u00a1-\u00ac\u00ae-\u024f]*")
+_LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: Fixed value: how byte-level BPE cuts a text before it merges, for texts of plain characters.
+PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+)
+#: Fixed value: the letter that stands for a byte in byte-level BPE; printable ones stand for themselves.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTER_OF_BYTE = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Characters of the texts that are encoded together.
+_CHARS = 1 << 17
 
 
 def masked_checksum(data: bytes) -> int:
@@ -53,28 +63,50 @@ def _write_framed(out: BinaryIO, payload: bytes) -> None:
     out.write(_CHECK.pack(masked_checksum(payload)))
 
 
-class _Encoder(dict):
-    """Ids of a piece of text as bytes. Equal pieces are encoded once; merges never cross pieces."""
+class _Encoder:
+    """Ids of texts as bytes. A text of plain characters is cut into pieces, equal pieces are encoded once: merges
+    never cross pieces. Other texts are encoded as they are."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        found = self[piece] = np.array(ids, self.width).tobytes()
-        return found
-
-    def encode(self, text: str, end: bytes) -> bytes:
-        if PLAIN.fullmatch(text):
-            return b"".join([*map(self.__getitem__, PIECES.findall(text)), end])
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.width).tobytes() + end
+        self.model = self.tokenizer.model
+        short = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.width, self.kind = ("<u2", "H") if short else ("<u4", "I")
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.width).tobytes() for x in found]
+
+    def _merged(self, piece: str) -> bytes:
+        """A piece's ids straight from the merges, which is what the library does with a piece."""
+        letters = piece.encode().decode("latin-1").translate(LETTER_OF_BYTE)
+        return array(self.kind, [token.id for token in self.model.tokenize(letters)]).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [PIECES.findall(text) if PLAIN.fullmatch(text) else None for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for piece in set().union(*(p for p in cut if p is not None)).difference(self.known):
+            self.known[piece] = self._merged(piece)
+        whole = iter(self._encoded([text for text, p in zip(texts, cut, strict=True) if p is None]))
+        return [next(whole) if p is None else b"".join(map(self.known.__getitem__, p)) for p in cut]
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Places of consecutive texts with some _CHARS characters."""
+    start = size = 0
+    for at, text in enumerate(texts):
+        size += len(text)
+        if size >= _CHARS:
+            yield start, at + 1
+            start, size = at + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 @cache
@@ -109,17 +141,17 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
         data, index = f"{folder}/shard-{shard:06d}.data", f"{folder}/shard-{shard:06d}.index"
         records = ids = place = 0
         with written(data) as out, written(index) as entries:
-            for batch in _chain(first, filled):
+            for batch in parts(_chain(first, filled), 1024):
                 found = np.zeros(batch.num_rows, INDEX)
-                for k, (doc_id, text) in enumerate(
-                    zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-                ):
-                    payload = encoder.encode(text, end)
-                    _write_framed(out, payload)
-                    n = len(payload) // len(end)
-                    found[k] = (doc_id or 0, doc_id is not None, place, n)
-                    place += 16 + len(payload)
-                    ids += n
+                ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                for start, stop in _groups(texts):
+                    for k, encoded in enumerate(encoder.encode(texts[start:stop]), start):
+                        payload = encoded + end
+                        _write_framed(out, payload)
+                        n = len(payload) // len(end)
+                        found[k] = (ids_of[k] or 0, ids_of[k] is not None, place, n)
+                        place += 16 + len(payload)
+                        ids += n
                 entries.write(found.tobytes())
                 records += batch.num_rows
         yield pa.RecordBatch.from_pydict(
@@ -135,10 +167,11 @@ def _chain(first: pa.RecordBatch, others: Iterator[pa.RecordBatch]) -> Iterator[
     yield from others
 
 
-def read_records(shards: DataFrame, seed: int | None = None) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and ``ids`` (bytes of little-endian unsigned 32-bit integers) of every record.
+def read_records(shards: DataFrame, seed: int | None = None, with_ids: bool = True) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and ``ids`` of every record.
 
-    ``start`` counts the ids of all records before it. Without a ``seed`` the records of a shard come in order;
+    ``start`` counts the ids of all records before it; ``ids`` are little-endian unsigned 32-bit integers, left out
+    without ``with_ids``, and ``ids_crc32`` is the CRC-32 of those bytes. Without a ``seed`` the records of a shard come in order;
     with one, in a random order of places looked up in the index. Lengths and checksums are verified;
     a damaged file is an error.
     """
@@ -149,23 +182,13 @@ def read_records(shards: DataFrame, seed: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _records(row, seed)
+                yield from _records(row, seed, with_ids)
 
-    kind = "doc_id long, start long, n_tokens long, ids binary"
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     return placed.repartition(max(1, count), "shard").mapInArrow(run, kind)
 
 
-def summary(records: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and the CRC-32 of the ids, from ``read_records``."""
-    crc32 = F.pandas_udf(_crc32, "long")
-    return records.select("doc_id", "start", "n_tokens", crc32("ids").alias("ids_crc32"))
-
-
-def _crc32(data: pd.Series) -> pd.Series:
-    return data.map(zlib.crc32)
-
-
-def _records(shard: dict, seed: int | None, rows: int = 256) -> Iterator[pa.RecordBatch]:
+def _records(shard: dict, seed: int | None, with_ids: bool, rows: int = 256) -> Iterator[pa.RecordBatch]:
     with opened(shard["index"]) as source:
         index = np.frombuffer(source.read(), INDEX)
     starts = shard["first"] + np.concatenate(([0], np.cumsum(index["ids"].astype(np.int64))[:-1]))
@@ -175,15 +198,14 @@ def _records(shard: dict, seed: int | None, rows: int = 256) -> Iterator[pa.Reco
     with opened(shard["data"]) as source:
         for at in range(0, len(order), rows):
             chosen = order[at : at + rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(e["doc_id"]) if e["known"] else None for e in index[chosen]], pa.int64()),
-                    pa.array(starts[chosen], pa.int64()),
-                    pa.array(index["ids"][chosen].astype(np.int64)),
-                    pa.array([_payload(source, index[k], shard) for k in chosen], pa.binary()),
-                ],
-                names=["doc_id", "start", "n_tokens", "ids"],
-            )
+            ids = [_payload(source, index[k], shard) for k in chosen]
+            columns = {
+                "doc_id": pa.array([int(e["doc_id"]) if e["known"] else None for e in index[chosen]], pa.int64()),
+                "start": pa.array(starts[chosen], pa.int64()),
+                "n_tokens": pa.array(index["ids"][chosen].astype(np.int64)),
+                "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+            }
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
 
 def _payload(source: BinaryIO, entry: np.void, shard: dict) -> bytes:
