@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import thinned
 from .shingles import mixed
 
 #: Vectors that the trees are grown on at most, and those of a leaf there at least.
@@ -58,11 +59,13 @@ def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "em
 
 def grow(vectors: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> Forest | None:
     """The forest of ``vectors`` (``id``, ``vector``), or None if there are none. Reruns agree."""
-    longest = vectors.select(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    longest, count = vectors.agg(F.max(square), F.count("*")).first()
     if longest is None:
         return None
     longest = float(np.sqrt(longest))
-    sample = vectors.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).toPandas()
+    few = thinned(vectors, 2 * SAMPLE / count, "id", "vector")
+    sample = few.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).toPandas()
     points = with_length(np.array(sample["vector"].tolist(), np.float64), longest)
     depth = max(0, min(depth, int(np.log2(max(1, len(points) / LEAF)))))
     random = np.random.default_rng(seed)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.references import splittable
 from .files import make_folder, opened, written
+from .sampling import thinned
 from .scratch import new_folder, settled
 
 #: Fixed value: the magic number of the frame that holds a dictionary.
@@ -97,7 +98,8 @@ def _loaded(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 def _dictionary(given: DataFrame, date: str) -> bytes:
     """Built from the records with the smallest hashes."""
     cut = given.withColumn("html", F.substring("html", 1, SAMPLE_CHARS)).withColumn("refers_to", F.lit(None).cast("long"))
-    sample = cut.orderBy(F.xxhash64("page_id", "digest"), "digest").limit(SAMPLES).collect()
+    few = thinned(cut, 2 * SAMPLES / max(1, given.count()), "page_id", "digest")
+    sample = few.orderBy(F.xxhash64("page_id", "digest"), "digest").limit(SAMPLES).collect()
     records = [record_of(row.asDict(), date) for row in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
