@@ -2,7 +2,7 @@
 
 Each language has several centroids, found by spherical k-means, since its texts come in
 kinds. A text gets the language of the centroid with the largest cosine; one too far from it, by
-that centroid's own radius, is rejected.
+the radius of the language's widest centroid, is rejected.
 """
 
 from __future__ import annotations
@@ -17,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import parts
+from .sampling import thinned
+
 UNKNOWN = "und"
 #: Hashed features of a vector.
 FEATURES = 1 << 13
 #: Documents that a language's centroids are fitted on at most; document frequencies come from all.
 PER_LANGUAGE = 400
 CENTROIDS, ROUNDS = 4, 12
-#: A text is rejected below this share of the least cosine that a centroid has to its own fitted texts.
-RADIUS = 0.2
+#: A text is rejected below this share of the cosine that nearly all texts fitted to its language's widest centroid have.
+#: Short texts have small cosines in any language, so the share is small too.
+RADIUS = 0.15
 MAX_LANGUAGES = 1000
 _BATCH = 256
 
@@ -85,7 +89,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float32)
 
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash))
+    named = docs.select("doc_id", "lang").where("lang IS NOT NULL")
+    counts = named.groupBy(F.col("lang").alias("counted")).count()
+    many = named.join(F.broadcast(counts.limit(MAX_LANGUAGES + 1)), F.col("lang") == F.col("counted"))
+    chosen = thinned(many, 2 * per_language / F.col("count"), "doc_id").select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash))
     chosen = chosen.where(F.col("rank") <= per_language).select("doc_id", F.col("lang").alias("own")).distinct()
     # At most per_language rows of each language, and languages are few.
     sample = labelled.join(F.broadcast(chosen), "doc_id").where("lang = own").select("lang", "text")
@@ -107,9 +114,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     if len(rows) > MAX_LANGUAGES * CENTROIDS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     centroids = [np.frombuffer(bytes(r["centroid"]), np.float32) for r in rows]
+    widest = {lang: min(r["least"] for r in rows if r["lang"] == lang) for lang in {r["lang"] for r in rows}}
     return Model(
         [r["lang"] for r in rows],
-        np.array([r["least"] * RADIUS for r in rows]),
+        np.array([widest[r["lang"]] * RADIUS for r in rows]),
         np.array(centroids, np.float32).reshape(len(rows), FEATURES),
         idf,
     )
@@ -120,7 +128,7 @@ def _document_frequency(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, total = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column("text").to_pylist():
                 counts = ngram_counts(text)
                 if counts is not None:
@@ -134,16 +142,10 @@ def _document_frequency(texts: DataFrame) -> DataFrame:
 
 
 def spherical_kmeans(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of unit rows, and the least cosine of each to its rows. Begins with rows far from each other."""
+    """Centroids of unit rows, and the cosine that one in a hundred of its rows stays below. Begins with evenly spaced rows."""
     if not len(rows):
         return np.empty((0, FEATURES), np.float32), np.empty(0)
-    mean = rows.mean(axis=0)
-    chosen = [int((rows @ mean).argmax())]
-    nearest = rows @ rows[chosen[0]]
-    while len(chosen) < min(k, len(rows)) and nearest.min() < 1 - 1e-6:
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, rows @ rows[chosen[-1]])
-    centroids = rows[chosen]
+    centroids = rows[np.linspace(0, len(rows) - 1, min(k, len(rows))).astype(int)]
     for _ in range(ROUNDS):
         owner = (rows @ centroids.T).argmax(axis=1)
         owned = np.unique(owner)
@@ -152,7 +154,7 @@ def spherical_kmeans(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     cosines = rows @ centroids.T
     owner, best = cosines.argmax(axis=1), cosines.max(axis=1)
     kept = np.unique(owner)
-    return centroids[kept].astype(np.float32), np.array([best[owner == c].min() for c in kept], np.float64)
+    return centroids[kept].astype(np.float32), np.array([np.quantile(best[owner == c], 0.01) for c in kept], np.float64)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -169,14 +171,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        model, parts = shared.value, []
+        model, judged = shared.value, []
         for at in range(0, len(texts), _BATCH):
             counts = [ngram_counts(x) for x in texts.iloc[at : at + _BATCH]]
             cosines = vectors(counts, model.idf) @ model.centroids.T
             best = cosines.argmax(axis=1)
             score = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
             known = np.array([c is not None for c in counts])
-            parts.append(
+            judged.append(
                 pd.DataFrame(
                     {
                         "lang_pred": np.where(known, np.array(model.languages, object)[best], UNKNOWN),
@@ -185,11 +187,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     }
                 )
             )
-        return pd.concat(parts) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
+        return pd.concat(judged) if judged else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
-    judged = docs.withColumn("__judged", judge(F.col(text)))
+    with_judgement = docs.withColumn("__judged", judge(F.col(text)))
     others = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return judged.select(*others, "__judged.lang_pred", "__judged.score", "__judged.rejected")
+    return with_judgement.select(*others, "__judged.lang_pred", "__judged.score", "__judged.rejected")
 
 
 def held_out() -> Column:
