@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.references import splittable
+from .batches import parts
 from .components import components
 from .near import SET_BLOCK, SIGNATURE_BLOCK, close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
 from .scratch import settled
-from .shingles import character_shingles, mixed
+from .shingles import character_shingles, mixed, windows
 
 SHINGLE, SLOTS, ROWS = 8, 60, 5
 #: Signatures of lines with a similarity of 0.8 differ in more slots with a probability under one in a thousand.
@@ -174,12 +175,31 @@ def _components(given: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 def _similar_texts(table: pa.Table, starts: np.ndarray, percent: int) -> pa.Table:
     """``similar_links`` of rows that hold a ``text``: it is shorter than its set, so that is made here."""
     texts = table.column("text").to_pylist()
-    sets = [character_shingles(text, SHINGLE).view(np.int64) for text in texts]
+    sets = [s.view(np.int64) for s in _shingle_sets(texts)]
     table = table.append_column("signature", pa.array([r.tobytes() for r in signatures(texts)], pa.binary()))
     table = table.append_column("shingles", pa.array(sets, pa.list_(pa.int64())))
     return similar_links(table, starts, THRESHOLD, percent, bits=8)
 
 
+def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line; many lines are hashed at once."""
+    sets, start = [], 0
+    while start < len(lines):
+        stop, size = start, 0
+        while stop < len(lines) and (size < _CHARS or stop == start):
+            size += len(lines[stop])
+            stop += 1
+        points = np.frombuffer("".join(lines[start:stop]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        hashes = windows(mixed(points.astype(np.uint64) + np.uint64(1)), SHINGLE)
+        at = 0
+        for line in lines[start:stop]:
+            own = hashes[at : at + len(line) - SHINGLE + 1]
+            sets.append(np.unique(own) if len(line) >= SHINGLE else character_shingles(line, SHINGLE))
+            at += len(line)
+        start = stop
+    return sets
+
+
 def band_keys(rows: list[bytes]) -> np.ndarray:
     """A key for each band (column) of each signature (row)."""
     slots = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), SLOTS // ROWS, ROWS).astype(np.uint64)
@@ -197,8 +217,8 @@ def _repeated(classes: DataFrame) -> Broadcast:
         for batch in batches:
             short = np.sort((band_keys(batch.column("signature").to_pylist()).ravel() >> np.uint64(32)).astype(np.uint32))
             borders = np.searchsorted(short, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-            parts = [p.tobytes() for p in np.split(short, borders)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int64()), pa.array(parts, pa.binary())], ["range", "short"])
+            cut = [p.tobytes() for p in np.split(short, borders)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int64()), pa.array(cut, pa.binary())], ["range", "short"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.sort(np.frombuffer(b"".join(p for batch in batches for p in batch.column("short").to_pylist()), np.uint32))
@@ -262,7 +282,7 @@ def _wanted_bits(wanted: DataFrame) -> Broadcast:
 
 
 def _each_line(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str]]:
-    for batch in batches:
+    for batch in parts(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for at, line in enumerate(lines_of(text)):
                 yield doc_id, at, normal(line)
@@ -302,7 +322,7 @@ def _char_batches(lines: Iterator[tuple[int | None, int, str]]) -> Iterator[list
 
 
 def _printed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         rows = [(d, at, fingerprint(line) if line else None) for d, at, line in _each_line(iter([batch]))]
         columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays(
@@ -312,7 +332,7 @@ def _printed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         lines = [line for _, _, line in _each_line(iter([batch])) if line]
         prints = [fingerprint(line) for line in lines]
         passed = _passes(shared.value, np.array([_print_number(p) for p in prints], np.int64))

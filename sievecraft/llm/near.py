@@ -97,6 +97,8 @@ def signatures(table: pa.Table, bits: int) -> np.ndarray:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The number of differing slots of every row of ``a`` against every row of ``b``."""
+    if len(a) * len(b) * a.shape[1] <= 1 << 16:  # small ones in one step
+        return (a[:, None, :] != b[None, :, :]).sum(axis=2, dtype=np.uint16)
     out = np.zeros((len(a), len(b)), dtype=np.uint16)
     for k in range(a.shape[1]):
         out += a[:, k, None] != b[None, :, k]
