@@ -14,8 +14,8 @@ from sievecraft.llm.decontaminate import decontaminate
 from sievecraft.llm.language_id import fit, held_out, predict
 from sievecraft.llm.minhash_dedup import drop_near_duplicates
 from sievecraft.llm.mixing import mixed_documents
-from sievecraft.llm.scratch import settled, ship
-from sievecraft.llm.token_records import read_records, summary, write_records
+from sievecraft.llm.scratch import prepare, settled
+from sievecraft.llm.token_records import read_records, write_records
 
 #: Id that ends each document.
 END_ID = 2
@@ -26,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Languages are learned from the labelled documents that are not held out.
     """
+    prepare(spark)
     judged = predict(docs, fit(docs.where(~held_out())))
     named = judged.where("NOT rejected").withColumn("lang", F.col("lang_pred"))
     return named.select(docs.columns)
@@ -33,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    prepare(spark)
     return drop_near_duplicates(docs)
 
 
@@ -48,8 +50,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as binary records; what reading them back gives: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
+    prepare(spark)
     shards = write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
-    return summary(read_records(shards))
+    return read_records(shards, with_ids=False)
 
 
 STAGES = [
@@ -66,7 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name)

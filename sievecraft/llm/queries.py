@@ -16,13 +16,13 @@ from .license_scan import label_list, scan, score
 from .line_dedup import line_classes
 from .minhash_dedup import near_duplicates
 from .mixing import mixture, sized_rows, taken_words
-from .scratch import ship
+from .scratch import prepare
 from .token_records import read_records, write_records
 from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

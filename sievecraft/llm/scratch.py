@@ -28,11 +28,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each Spark context.
+#: Rows of an Arrow batch: they hold whole texts, so Spark's own 10,000 would be much memory in every task.
+BATCH_ROWS = 1000
 
-    Needless where it is installed on them; the archive is a driver file that Spark distributes.
+
+def prepare(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark context, and bounds the session's Arrow batches.
+
+    The first is needless where it is installed on them; the archive is a driver file that Spark distributes.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_sievecraft_shipped", False):
         return
