@@ -189,7 +189,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             )
         return pd.concat(judged) if judged else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
-    with_judgement = docs.withColumn("__judged", judge(F.col(text)))
+    # A filter on the result would otherwise judge every text a second time.
+    with_judgement = docs.withColumn("__judged", judge.asNondeterministic()(F.col(text)))
     others = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     return with_judgement.select(*others, "__judged.lang_pred", "__judged.score", "__judged.rejected")
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.references import splittable
 from .batches import parts
+from .bits import BITS, bit_table, bits_of, passes
 from .components import components
 from .near import SET_BLOCK, SIGNATURE_BLOCK, close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
 from .scratch import settled
@@ -34,8 +35,6 @@ SHINGLE, SLOTS, ROWS = 8, 60, 5
 THRESHOLD = 22
 #: Characters whose lines are hashed at a time.
 _CHARS = 1 << 18
-#: Bits of the filters that keys, and lines that are read again, must pass; they are broadcast (2 MB).
-_FILTER = 1 << 24
 
 
 def normal(line: str) -> str:
@@ -223,10 +222,10 @@ def _repeated(classes: DataFrame) -> Broadcast:
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.sort(np.frombuffer(b"".join(p for batch in batches for p in batch.column("short").to_pylist()), np.uint32))
         often = np.unique(short[1:][short[1:] == short[:-1]])
-        yield from _bits(often.astype(np.int64))
+        yield from bits_of(often.astype(np.int64))
 
     rows = classes.select("signature").mapInArrow(packed, "range long, short binary")
-    return _bit_table(rows.repartition("range").mapInArrow(repeated, _BITS))
+    return bit_table(rows.repartition("range").mapInArrow(repeated, BITS))
 
 
 def _keyed(classes: DataFrame, shared: Broadcast) -> DataFrame:
@@ -236,7 +235,7 @@ def _keyed(classes: DataFrame, shared: Broadcast) -> DataFrame:
         table = shared.value
         for batch in batches:
             keys = band_keys(batch.column("signature").to_pylist())
-            row, band = np.nonzero(_passes(table, (keys >> np.uint64(32)).astype(np.int64)))
+            row, band = np.nonzero(passes(table, (keys >> np.uint64(32)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").take(pa.array(row)), pa.array(keys[row, band].view(np.int64))], ["node", "key"]
             )
@@ -244,31 +243,6 @@ def _keyed(classes: DataFrame, shared: Broadcast) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "node long, key long")
 
 
-#: Rows of bits: a 32-bit word of the table and its bits.
-_BITS = "word long, bits long"
-
-
-def _bits(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    places = values % _FILTER
-    words, where = np.unique(places >> 5, return_inverse=True)
-    bits = np.zeros(len(words), np.int64)
-    np.bitwise_or.at(bits, where, np.int64(1) << (places & 31))
-    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
-
-
-def _bit_table(rows: DataFrame) -> Broadcast:
-    """Rows of bits as one table, broadcast. Its size is fixed; a full one only lets more pass."""
-    found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most _FILTER / 32 rows
-    table = np.zeros(_FILTER >> 5, np.uint32)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return rows.sparkSession.sparkContext.broadcast(table)
-
-
-def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    places = values % _FILTER
-    return (table[places >> 5] >> (places & 31).astype(np.uint32) & 1).astype(bool)
-
-
 def _print_number(known: bytes) -> int:
     return int.from_bytes(known[:7], "little")
 
@@ -276,9 +250,9 @@ def _print_number(known: bytes) -> int:
 def _wanted_bits(wanted: DataFrame) -> Broadcast:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _bits(np.array([_print_number(p) for p in batch.column("print").to_pylist()], np.int64))
+            yield from bits_of(np.array([_print_number(p) for p in batch.column("print").to_pylist()], np.int64))
 
-    return _bit_table(wanted.select("print").mapInArrow(run, _BITS))
+    return bit_table(wanted.select("print").mapInArrow(run, BITS))
 
 
 def _each_line(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str]]:
@@ -335,7 +309,7 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Itera
     for batch in parts(batches):
         lines = [line for _, _, line in _each_line(iter([batch])) if line]
         prints = [fingerprint(line) for line in lines]
-        passed = _passes(shared.value, np.array([_print_number(p) for p in prints], np.int64))
+        passed = passes(shared.value, np.array([_print_number(p) for p in prints], np.int64))
         found = {prints[k]: lines[k] for k in np.flatnonzero(passed)}
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["found", "text"]

@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from ..operators.references import splittable
 from .batches import parts
+from .bits import BITS, bit_table, bits_of, passes
 from .components import components
 from .near import SET_BLOCK, SIGNATURE_BLOCK, close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
 from .scratch import settled
-from .shingles import signature, word_shingles
+from .shingles import mixed, signature, word_shingles
 
 SLOTS, CHUNK = 64, 4
 THRESHOLD = 28
@@ -92,7 +93,7 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
         F.col("node").alias("id"), F.xxhash64("component").alias("key"), "members"
     )
     wanted = sets.select("node", "fingerprint").join(member, F.col("node") == F.col("id")).drop("id")
-    texts = given.drop("text_hash").join(splittable(wanted), F.col("doc_id") == F.col("node"))
+    texts = _passing(given, wanted).join(splittable(wanted), F.col("doc_id") == F.col("node"))
     filled = _with_sets(texts, width).dropDuplicates(["node", "fingerprint"]).drop("fingerprint")
     return per_block_pair(
         in_block_pairs(filled, F.xxhash64("node", F.lit(1)), SET_BLOCK),
@@ -101,6 +102,28 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     )
 
 
+def _passing(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the wanted documents, and of few others: the join shuffles only these."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from bits_of(_numbers(batch.column("node")))
+
+    shared = bit_table(wanted.select("node").mapInArrow(bits, BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.filter(batch.column("doc_id").is_valid())
+            yield known.filter(pa.array(passes(shared.value, _numbers(known.column("doc_id")))))
+
+    texts = given.select("doc_id", "text")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def _numbers(ids: pa.Array) -> np.ndarray:
+    return (mixed(ids.to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(8)).astype(np.int64)
+
+
 def _key_columns() -> list:
     """For each chunk and each of its slots, the other slots of the chunk, as bytes."""
     columns = []
