@@ -51,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as binary records; what reading them back gives: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
     prepare(spark)
-    shards = write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    shards = write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, special=True)
     return read_records(shards, with_ids=False)
 
 

@@ -47,7 +47,7 @@ END_ID = 2
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    shards = write_records(_table(spark, sf_dir, "documents"), tokenizer, END_ID)
+    shards = write_records(_table(spark, sf_dir, "documents"), tokenizer, END_ID, special=True)
     return read_records(shards, with_ids=False)
 
 

@@ -65,14 +65,15 @@ def _write_framed(out: BinaryIO, payload: bytes) -> None:
 
 class _Encoder:
     """Ids of texts as bytes. A text of plain characters is cut into pieces, equal pieces are encoded once: merges
-    never cross pieces. Other texts are encoded as they are."""
+    never cross pieces. Other texts, and those that hold an added token, are encoded as they are."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         short = self.tokenizer.get_vocab_size() <= 1 << 16
         self.width, self.kind = ("<u2", "H") if short else ("<u4", "I")
@@ -87,8 +88,11 @@ class _Encoder:
         letters = piece.encode().decode("latin-1").translate(LETTER_OF_BYTE)
         return array(self.kind, [token.id for token in self.model.tokenize(letters)]).tobytes()
 
+    def _plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(token in text for token in self.added)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [PIECES.findall(text) if PLAIN.fullmatch(text) else None for text in texts]
+        cut = [PIECES.findall(text) if self._plain(text) else None for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for piece in set().union(*(p for p in cut if p is not None)).difference(self.known):
@@ -110,15 +114,19 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 @cache
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _encoder(path: str, special: bool) -> _Encoder:
+    return _Encoder(path, special)
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write_records(
+    docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, special: bool = False
+) -> DataFrame:
     """Writes every text of ``docs`` (``doc_id``, ``text``) in ascending doc_id order; returns the table of shards.
 
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, the same on all machines.
-    Each document's ids end with ``end_id``. A null text is empty and so has that id only. Rows without
+    Where a text holds a special token's literal text, ``special`` gives it that token's id, as the library does by
+    default; without it, the literal text is encoded like any other. Other added tokens of the file get their ids in both
+    cases. Each document's ids end with ``end_id``. A null text is empty and so has that id only. Rows without
     doc_id come first; rows that repeat a doc_id follow each other in the order of a hash of their text. An
     empty table makes no shard. Other columns are not read.
 
@@ -136,7 +144,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
         first = next(filled, None)
         if first is None:
             return
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, special)
         end = np.array([end_id], encoder.width).tobytes()
         data, index = f"{folder}/shard-{shard:06d}.data", f"{folder}/shard-{shard:06d}.index"
         records = ids = place = 0

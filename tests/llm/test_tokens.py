@@ -12,7 +12,9 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from conftest import TESTDATA
+from sievecraft.llm.queries import op4_token_records
 from sievecraft.llm.token_records import PIECES, PLAIN, masked_checksum, read_records, write_records
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,3 +85,28 @@ def test_format_and_damage(spark):
             out.write(data[:place] + bytes([data[place] ^ 1]) + data[place + 1 :])
         with pytest.raises(PythonException, match="damaged"):
             read_records(shards.where(F.col("data") == first.data)).collect()
+
+
+@pytest.mark.parametrize("stage", ["query", "pipeline"])
+def test_added_tokens_as_the_library_encodes_them(spark, tmp_path, stage):
+    """An untouched tokenizer is the reference; plain and other texts hold the content of an added token."""
+    rows = [(1, "a <|endoftext|> b", "en", "s", 0), (2, "漢字<|endoftext|>", "en", "s", 0), (3, "<|endoftext", "en", "s", 0), (4, "plain", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = op4_token_records(spark, str(tmp_path)) if stage == "query" else corpus_pipeline.token_records(spark, docs, str(tmp_path))
+    library = Tokenizer.from_file(PATH)
+    assert 50256 in ids(library, rows[0][1])
+    expected = {r[0]: zlib.crc32(np.array(ids(library, r[1]), "<u4").tobytes()) for r in rows}
+    assert {r.doc_id: r.ids_crc32 for r in found.collect()} == expected
+
+
+def test_an_added_token_that_is_not_special(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    library.add_tokens(["wor"])
+    path = f"{tmp_path}/more.json"
+    library.save(path)
+    texts = ["hello world", "hello", "no wor d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for special in (False, True):
+        found = read_records(write_records(docs, path, 2, special=special)).collect()
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found} == {k: ids(library, t) for k, t in enumerate(texts)}
