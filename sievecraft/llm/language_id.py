@@ -2,11 +2,12 @@
 
 Each language has several centroids, found by spherical k-means, since its texts come in
 kinds. A text gets the language of the centroid with the largest cosine; one too far from it, by
-the radius of the language's widest centroid, is rejected.
+the radius that this centroid has for texts with as many distinct n-grams, is rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -26,15 +27,17 @@ FEATURES = 1 << 13
 #: Documents that a language's centroids are fitted on at most; document frequencies come from all.
 PER_LANGUAGE = 400
 CENTROIDS, ROUNDS = 4, 12
-#: A text is rejected below this share of the cosine that nearly all texts fitted to its language's widest centroid have.
-#: Short texts have small cosines in any language, so the share is small too.
-RADIUS = 0.15
+#: A text is rejected below this share of the cosine that all but one in a hundred held-out texts of its size have.
+#: On the given tables 0.4 to 0.45 rejects no text of a right language, and all foreign and random ones of tests/llm.
+RADIUS = 0.45
+#: Radii are measured at 2**_SIZES distinct n-grams, since cosines grow with them, and are a centroid's own from so many texts.
+_SIZES, OWN_TEXTS = np.arange(3, 14), 50
 MAX_LANGUAGES = 1000
 _BATCH = 256
 
 
 class Model(NamedTuple):
-    """``languages`` and ``least`` (smallest accepted cosine) of each row of ``centroids``; ``idf`` of each feature."""
+    """``languages`` and ``least`` (smallest accepted cosine at each size) of each row of ``centroids``; ``idf`` of each feature."""
 
     languages: list[str]
     least: np.ndarray
@@ -98,26 +101,27 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     sample = labelled.join(F.broadcast(chosen), "doc_id").where("lang = own").select("lang", "text")
 
     def cluster(texts: pd.DataFrame) -> pd.DataFrame:
-        rows = vectors([c for c in map(ngram_counts, texts["text"]) if c is not None], idf)
-        centroids, least = spherical_kmeans(rows, CENTROIDS)
-        lang = texts["lang"].iloc[0]
+        known = [t for t in texts["text"] if ngram_counts(t) is not None]
+        known.sort(key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t))  # rows come in any order
+        rows = vectors([ngram_counts(t) for t in known], idf)
+        centroids = spherical_kmeans(rows, CENTROIDS)
+        least, lang = RADIUS * radii(known, rows, centroids, idf), texts["lang"].iloc[0]
         return pd.DataFrame(
             {
                 "lang": pd.Series([lang] * len(least), dtype=object),
-                "least": least,
+                "least": pd.Series(list(least), dtype=object),
                 "centroid": pd.Series([c.tobytes() for c in centroids], dtype=object),
             }
         )
 
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, least double, centroid binary")
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, least array<double>, centroid binary")
     rows = sorted(found.limit(MAX_LANGUAGES * CENTROIDS + 1).collect(), key=lambda r: (r["lang"], bytes(r["centroid"])))
     if len(rows) > MAX_LANGUAGES * CENTROIDS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     centroids = [np.frombuffer(bytes(r["centroid"]), np.float32) for r in rows]
-    widest = {lang: min(r["least"] for r in rows if r["lang"] == lang) for lang in {r["lang"] for r in rows}}
     return Model(
         [r["lang"] for r in rows],
-        np.array([widest[r["lang"]] * RADIUS for r in rows]),
+        np.array([r["least"] for r in rows], np.float64).reshape(len(rows), len(_SIZES)),
         np.array(centroids, np.float32).reshape(len(rows), FEATURES),
         idf,
     )
@@ -141,20 +145,56 @@ def _document_frequency(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def spherical_kmeans(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of unit rows, and the cosine that one in a hundred of its rows stays below. Begins with evenly spaced rows."""
+def spherical_kmeans(rows: np.ndarray, k: int) -> np.ndarray:
+    """Centroids of unit rows. Begins with evenly spaced rows."""
     if not len(rows):
-        return np.empty((0, FEATURES), np.float32), np.empty(0)
+        return np.empty((0, FEATURES), np.float32)
     centroids = rows[np.linspace(0, len(rows) - 1, min(k, len(rows))).astype(int)]
     for _ in range(ROUNDS):
         owner = (rows @ centroids.T).argmax(axis=1)
         owned = np.unique(owner)
         sums = np.stack([rows[owner == c].sum(axis=0) for c in owned])
         centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    cosines = rows @ centroids.T
-    owner, best = cosines.argmax(axis=1), cosines.max(axis=1)
-    kept = np.unique(owner)
-    return centroids[kept].astype(np.float32), np.array([np.quantile(best[owner == c], 0.01) for c in kept], np.float64)
+    kept = np.unique((rows @ centroids.T).argmax(axis=1))
+    return centroids[kept].astype(np.float32)
+
+
+def radii(texts: list[str], rows: np.ndarray, centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each centroid and size, the cosine that one in a hundred of a language's texts stays below.
+
+    Texts (``rows`` are their vectors) and beginnings of them are measured by centroids fitted on the other half of the
+    texts; very few texts are measured by ``centroids`` themselves. A size with fewer than ``OWN_TEXTS`` texts of a
+    centroid takes those of the language; one with none takes the next smaller size.
+    """
+    few = len(texts) < 20
+    halves = [centroids, centroids] if few else [spherical_kmeans(rows[1::2], CENTROIDS), spherical_kmeans(rows[::2], CENTROIDS)]
+    other = np.arange(len(texts)) % 2
+    sizes, owners, cosines = [], [], []
+    for end in [*(1 << np.arange(2, 15)), None]:  # None: the whole text
+        part = [(k, c) for k, t in enumerate(texts) if end is None or len(t) > end if (c := ngram_counts(t[:end])) is not None]
+        if part:
+            at, cut = np.array([k for k, _ in part]), vectors([c for _, c in part], idf)
+            by_half = np.stack([(cut @ half.T).max(axis=1) for half in halves])
+            sizes.append(np.log2([np.count_nonzero(c) for _, c in part]).round().clip(_SIZES[0], _SIZES[-1]))
+            owners.append((cut @ centroids.T).argmax(axis=1))
+            cosines.append(by_half[other[at], np.arange(len(at))])
+    out = np.zeros((len(centroids), len(_SIZES)))
+    if sizes:
+        size, owner, cosine = map(np.concatenate, (sizes, owners, cosines))
+        for n, k in np.ndindex(out.shape[::-1]):
+            of_all = size == _SIZES[n]
+            own = of_all & (owner == k)
+            chosen = cosine[own if own.sum() >= OWN_TEXTS else of_all]
+            out[k, n] = np.quantile(chosen, 0.01) if len(chosen) else out[k, n - 1] if n else 0
+    return out
+
+
+def least_accepted(model: Model, best: np.ndarray, counts: list[np.ndarray | None]) -> np.ndarray:
+    """The smallest accepted cosine of each text, by its nearest centroid and between the two sizes next to its own."""
+    n = np.array([max(1, np.count_nonzero(c)) if c is not None else 1 for c in counts])
+    place = np.log2(n).clip(_SIZES[0], _SIZES[-1]) - _SIZES[0]
+    low = np.minimum(place.astype(int), len(_SIZES) - 2)
+    return model.least[best, low] * (1 + low - place) + model.least[best, low + 1] * (place - low)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -183,7 +223,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     {
                         "lang_pred": np.where(known, np.array(model.languages, object)[best], UNKNOWN),
                         "score": np.where(known, score, 0.0),
-                        "rejected": ~known | (score < model.least[best]),
+                        "rejected": ~known | (score < least_accepted(model, best, counts)),
                     }
                 )
             )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import random
 import zlib
 
 import pytest
@@ -61,3 +63,37 @@ def test_nothing_to_learn_from(spark):
         assert (found.lang_pred, found.score, found.rejected) == ("und", 0.0, True)
     one = fit(spark.createDataFrame([(1, "ein satz", "de"), (1, "ein satz", "de"), (2, "?", "en")], kind))
     assert predict(spark.createDataFrame([(5, "satz", None)], kind), one).first().lang_pred == "de"
+
+
+FINNISH = (
+    "Suomen kesä on lyhyt mutta kaunis, ja monet ihmiset viettävät sen mökillä järven rannalla. Illalla saunotaan, "
+    "uidaan ja grillataan makkaraa, ja yöllä aurinko tuskin laskee. Syksyllä metsästä kerätään marjoja ja sieniä, "
+    "joita riittää kaikille. Talvella taas on pimeää ja lunta sataa paljon."
+)
+DUTCH = (
+    "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en "
+    "behoren zich jegens elkander in een geest van broederschap te gedragen. In de winter schaatsen wij graag op het ijs."
+)
+
+
+def foreign_texts():
+    random_ = random.Random(5)
+    found = [FINNISH, FINNISH[:40], FINNISH * 20, DUTCH, DUTCH * 20]
+    for n in (40, 300, 3000, 30_000):
+        found.append(base64.b64encode(random_.randbytes(n)).decode())
+        for first, last in ((0x61, 0x7A), (0x430, 0x44F), (0x4E00, 0x9FA4), (0xAC00, 0xD7A2)):
+            found.append("".join(chr(random_.randint(first, last)) if random_.random() > 0.15 else " " for _ in range(n)))
+    return found
+
+
+def test_foreign_and_random_texts_are_rejected(spark, model):
+    docs = spark.createDataFrame(list(enumerate(foreign_texts())), "n int, text string")
+    passed = predict(docs, model).where("NOT rejected")
+    assert [(r.n, r.lang_pred, r.score) for r in passed.drop("text").collect()] == []
+
+
+def test_texts_of_the_languages_are_kept_whole_and_cut(docs, model):
+    assert predict(docs.where(held_out()), model).where("rejected AND score > 0").count() == 0
+    for size in (30, 100, 1000):
+        cut = predict(docs.where(held_out()).selectExpr(f"substr(text, 1, {size}) AS text"), model).where("score > 0")
+        assert cut.where("rejected").count() <= 0.01 * cut.count()
