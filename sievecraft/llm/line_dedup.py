@@ -33,6 +33,8 @@ from .shingles import character_shingles, mixed, windows
 SHINGLE, SLOTS, ROWS = 8, 60, 5
 #: Signatures of lines with a similarity of 0.8 differ in more slots with a probability under one in a thousand.
 THRESHOLD = 22
+#: Bands and cut are made for this similarity and higher ones.
+LEAST_PERCENT = 80
 #: Characters whose lines are hashed at a time.
 _CHARS = 1 << 18
 
@@ -100,11 +102,14 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id``, ``line`` (from 0), ``first_doc_id``, ``first_line`` and ``kept`` for every line of ``docs`` (``doc_id``, ``text``).
 
     Lines end at line feeds and are compared without white space around them, in lower case, by their distinct 8-character
-    shingles (a shorter line is one shingle). Lines with a similarity of at least ``percent`` / 100 are linked; the
+    shingles (a shorter line is one shingle). Lines with a similarity of at least ``percent`` / 100 (80 or more; less is an
+    error, since bands and cut would lose most links) are linked; the
     line that is first by doc_id and place in its component stays (``first_doc_id``, ``first_line``). Blank lines,
     and so empty and null texts, are kept as they are and have no first line. Rows without doc_id come first.
     Rows that repeat a doc_id have lines of the same names; the first of such lines is kept in each. Other columns are not read.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}, but bands and cut are made for {LEAST_PERCENT} to 100")
     given = docs.select("doc_id", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
     place = F.struct(F.col("doc_id"), F.col("line"))

@@ -1,8 +1,8 @@
 """Near-duplicate documents by a Hamming join of b-bit MinHash signatures.
 
 A signature has 64 slots of 16 bits. Two sets differ in a slot with probability 1 - J, so
-sets with J >= 0.8 differ in more than 28 slots with a probability under one in a million.
-All pairs of signatures that differ in at most 31 slots are found: the slots form 16 chunks
+sets with J >= 0.8 differ in more than 31 slots with a probability under one in ten million.
+All pairs of signatures that differ in at most 31 slots are found and compared: the slots form 16 chunks
 of 4, and by the pigeonhole principle 32 errors would be needed for two in every chunk, so
 some chunk has at most one. Each chunk is indexed four times, each time without one of its
 slots, which enumerates that error: 64 keys a document.
@@ -32,21 +32,25 @@ from .scratch import settled
 from .shingles import mixed, signature, word_shingles
 
 SLOTS, CHUNK = 64, 4
-THRESHOLD = 28
 GUARANTEED = 2 * (SLOTS // CHUNK) - 1
+#: The slots, chunks and the guaranteed distance are made for this similarity and higher ones.
+LEAST_PERCENT = 80
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs`` (``doc_id``, ``text``).
 
     Two texts are linked if their sets of distinct ``width``-word shingles have a Jaccard
-    similarity of at least ``percent`` / 100. ``component_id`` is the smallest doc_id reachable over links.
+    similarity of at least ``percent`` / 100, which is 80 or more: for less, signatures would lose links, so it is an
+    error. ``component_id`` is the smallest doc_id reachable over links.
     A text with fewer words has one shingle, all of it; a null text or one without words has
     none, is linked with nothing and kept. Texts with equal sets are one class from the start.
     Rows that repeat a doc_id are judged each by its own text. Rows without doc_id belong to
     the class of their set and are kept only if that class has no doc_id. Other columns,
     whatever their names, are not read.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}, but signatures find all links from {LEAST_PERCENT} to 100 only")
     given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     seen = settled(_signed(given, width), "signed")
     sets = settled(
@@ -85,7 +89,7 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     met = met.join(splittable(sets.select("node", "signature")), F.col("id") == F.col("node")).drop("id")
     near_type = f"a {sets.schema['node'].dataType.simpleString()}, b {sets.schema['node'].dataType.simpleString()}"
     near = per_block_pair(
-        in_block_pairs(met, F.xxhash64("node", F.lit(1)), SIGNATURE_BLOCK), partial(close_links, threshold=THRESHOLD), near_type
+        in_block_pairs(met, F.xxhash64("node", F.lit(1)), SIGNATURE_BLOCK), partial(close_links, threshold=GUARANTEED), near_type
     )
     families = components(near.distinct())
     sizes = families.groupBy("component").agg(F.count("*").alias("members"))
@@ -97,7 +101,7 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     filled = _with_sets(texts, width).dropDuplicates(["node", "fingerprint"]).drop("fingerprint")
     return per_block_pair(
         in_block_pairs(filled, F.xxhash64("node", F.lit(1)), SET_BLOCK),
-        partial(similar_links, threshold=THRESHOLD, percent=percent),
+        partial(similar_links, threshold=GUARANTEED, percent=percent),
         near_type,
     )
 

@@ -208,3 +208,21 @@ def test_odd_lines(spark):
     assert found == {
         "x": "same line here\nother\n", "y": None, "z": "", "u": "", "v": "short", "w": "", "s": "a" * 300_000, "t": "",
     }
+
+
+@pytest.mark.parametrize("operator", [near_duplicates, drop_near_duplicates, line_classes, deduplicate_lines])
+def test_similarities_that_signatures_would_lose_are_an_error(spark, operator):
+    docs = spark.createDataFrame([(1, "a text"), (2, "a text")], DOCS)
+    for percent in (50, 79, 101):
+        with pytest.raises(ValueError, match="percent"):
+            operator(docs, percent=percent)
+    assert operator(docs, percent=80).count() == 2 - (operator is drop_near_duplicates)
+
+
+def test_a_link_whose_signatures_differ_more_than_usual(spark):
+    """Similarity 4 / 5, but 29 of the 64 slots differ, found by a search; all up to the guaranteed number are compared."""
+    rows = [(1, "w1741 w1 w693 w2782"), (2, "w1741 w1 w693 w2782 w318")]
+    one, two = (minhash_dedup.signature(minhash_dedup.word_shingles(text, 1), minhash_dedup.SLOTS) for _, text in rows)
+    assert 28 < (one != two).sum() <= minhash_dedup.GUARANTEED
+    found = near_duplicates(spark.createDataFrame(rows, DOCS), width=1).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(1, 1, True), (2, 1, False)]
