@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from .ann import nearest, valid_vectors
 from .chat import formatted_conversations
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .language_id import fit, held_out, predict
 from .license_scan import label_list, scan, score
 from .line_dedup import line_classes
 from .minhash_dedup import near_duplicates
 from .mixing import mixture, sized_rows, taken_words
+from .piece_bpe import digests
 from .scratch import prepare
 from .token_records import read_records, write_records
 from .warc import read_archives, write_archives
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +119,18 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("id % 20 = 0"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -229,6 +244,40 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 20
 """
 
+DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+'
+    ) AS w FROM documents
+), groups AS (
+    SELECT DISTINCT lang, source FROM d
+), counts AS (
+    SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs
+    FROM (SELECT row, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS (
+    SELECT lang, term, sum(n) AS lang_n FROM counts GROUP BY ALL HAVING sum(docs) >= 10
+), dense AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, lang_n,
+        sum(coalesce(c.n, 0)) OVER own + 2 * count(*) OVER own AS total, sum(lang_n) OVER own + 2 * count(*) OVER own AS lang_total
+    FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    WINDOW own AS (PARTITION BY g.lang, g.source)
+), shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // total::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (lang_n + 2)) // lang_total::HUGEINT AS q FROM dense
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT x.lang, x.source AS one, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+        FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) s ON s.lang = a.lang AND s.one = a.source AND s.other = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+    (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say what a query returns; tests/llm compares the others with brute force."""
@@ -238,4 +287,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": WARC,
         "op9_chat_format": CHAT,
         "op10_nearest_vectors": NEAREST,
+        "op13_source_divergence": DIVERGENCE,
     }
