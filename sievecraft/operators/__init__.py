@@ -1,14 +1,15 @@
 """Reusable data-quality operators, each from DataFrames to a DataFrame."""
 
-from .cardinality import cardinality
+from .cardinality import at_most_one, cardinality
 from .duplicates import copies, duplicates
 from .filters import compare, missing
 from .hierarchy import cycle_members, deeper_than, self_loops
+from .marks import Family, Marks, found, key_counts, marked
 from .ordering import in_order
 from .recency import latest, stale
 from .references import attach, orphans, splittable, status_conflict
 
 __all__ = [
-    "attach", "cardinality", "compare", "copies", "cycle_members", "deeper_than", "duplicates", "in_order", "latest",
-    "missing", "orphans", "self_loops", "splittable", "stale", "status_conflict",
+    "Family", "Marks", "at_most_one", "attach", "cardinality", "compare", "copies", "cycle_members", "deeper_than", "duplicates", "found",
+    "in_order", "key_counts", "latest", "marked", "missing", "orphans", "self_loops", "splittable", "stale", "status_conflict",
 ]

@@ -53,3 +53,23 @@ def cardinality(
         rows = attach(df, spread(per_key), on, how, **carried)
         rows = rows.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in counts}).filter(wanted)
     return spread(rows).distinct()
+
+
+def at_most_one(
+    df: DataFrame, details: DataFrame, on: Mapping[str, str], count: str, column: str, none: bool = True, hot: bool = True
+) -> DataFrame:
+    """Distinct rows of ``df`` whose details hold one different value of ``column`` at most, or exactly one (``none=False``).
+
+    ``count`` is the name of the column that says how many, 0 or 1; NULL is no value. Values are not told apart: there is one at
+    most when the least is the greatest. So each map task sends one row per key, where a distinct count sends
+    every (key, value) pair. ``hot=False`` is as for ``cardinality``.
+    """
+    spread = splittable if hot else (lambda rows: rows)
+    per_key = details.groupBy(*on.values()).agg(F.min(column).alias("__least"), F.max(column).alias("__greatest"))
+    if not none:
+        per_key = per_key.filter("__least = __greatest")
+    rows = attach(df, spread(per_key), on, "left" if none else "inner", __least="__least", __greatest="__greatest")
+    if none:
+        rows = rows.filter("__least IS NULL OR __least = __greatest")
+    counted = F.when(F.col("__least").isNull(), 0).otherwise(1).cast("bigint")
+    return spread(rows.withColumn(count, counted).drop("__least", "__greatest")).distinct()

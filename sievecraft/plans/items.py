@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, blank, days_since, is_missing, months_before, or_zero
-from ..operators import attach, cardinality, duplicates, orphans, stale
+from ..operators import at_most_one, attach, cardinality, duplicates, orphans, stale
 from .bom import BOM_HEADERS, MADE_WITHOUT_BOM
 from .constants import BOUGHT, IDLE_ITEM_MONTHS, IDLE_MOVEMENT_MONTHS, NO, NO_BARCODE, SHORTEST_NAME, YES
 from .rule import DUPLICATE, INCONSISTENT, INVALID, MISSING, Source, TableMap, row_rule, rule
@@ -78,14 +78,13 @@ SUPPLIER_COUNT = "NbFournisseurs"
 
 @rule("ITM-07", INCONSISTENT, "Purchasable items with a single listed supplier", "OITM ITM2", "ItemCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    counts = {SUPPLIER_COUNT: F.count_distinct("CardCode")}
-    return cardinality(purchasable_items(t), listed_suppliers(t), {"ItemCode": "ItemCode"}, counts, low=1, high=1, hot=False)
+    on = {"ItemCode": "ItemCode"}
+    return at_most_one(purchasable_items(t), listed_suppliers(t), on, SUPPLIER_COUNT, "CardCode", none=False, hot=False)
 
 
 @rule("ITM-07-none", INCONSISTENT, "Purchasable items with one listed supplier or none", "OITM ITM2", "ItemCode", variant=True)
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    counts = {SUPPLIER_COUNT: F.count_distinct("CardCode")}
-    return cardinality(purchasable_items(t), listed_suppliers(t), {"ItemCode": "ItemCode"}, counts, high=1, hot=False)
+    return at_most_one(purchasable_items(t), listed_suppliers(t), {"ItemCode": "ItemCode"}, SUPPLIER_COUNT, "CardCode", hot=False)
 
 
 row_rule("ITM-08", MISSING, "Items without a procurement method", "OITM", lambda as_of: blank("PrcrmntMtd"), (*ITEM, "PrcrmntMtd"))

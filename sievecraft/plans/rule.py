@@ -65,6 +65,10 @@ class RowRule(Rule):
     source: Source = None
     where: Callable[[AsOf], Column] = None
     show: tuple[Shown, ...] = ()
+    # Where not None, equal rows count once; the columns named here tell rows apart beside the shown ones.
+    distinct: tuple[str, ...] | None = None
+    # How often a row counts.
+    times: Callable[[AsOf], Column] | None = None
 
     def columns(self, as_of: AsOf) -> list[Column | str]:
         return [_shown(item, as_of) for item in self.show]
@@ -82,7 +86,28 @@ def _shown(item: Shown, as_of: AsOf) -> Column | str:
     return (F.col(source) if isinstance(source, str) else source(as_of)).alias(name)
 
 
+@dataclass(frozen=True)
+class KeyRule:
+    """How a check that counts rows by key takes part in a count of many such checks.
+
+    ``keys`` maps shown columns to key expressions over the rows of a table that meet ``where``. Keys with at least ``least``
+    rows are findings, and ``count``, if any, is the column that shows how many.
+    """
+
+    rule: Rule
+    table: str
+    keys: Mapping[str, Callable[[], Column]]
+    count: str | None = None
+    where: Callable[[], Column] | None = None
+    least: int = 2
+
+
 RULES: dict[str, Rule] = {}
+# How checks with a plan of their own take part in a pass or a count that several checks share.
+SHARED: dict[str, RowRule] = {}
+KEYED: dict[str, KeyRule] = {}
+# For a source the one that holds its rows among others, and which they are.
+WIDER: dict[str, tuple[Source, Callable[[], Column]]] = {}
 # Checks of what the title of a rule promises, where its condition tests less.
 VARIANTS: dict[str, Rule] = {}
 
@@ -113,6 +138,26 @@ def rule(
     return wrap
 
 
+def shared(
+    rule_id: str,
+    source: Source,
+    where: Callable[[AsOf], Column],
+    show: tuple[Shown, ...],
+    distinct: tuple[str, ...] | None = None,
+    times: Callable[[AsOf], Column] | None = None,
+) -> None:
+    """State a registered check as one of the rows of a source, for a pass that it shares with others."""
+    own = RULES[rule_id]
+    SHARED[rule_id] = RowRule(
+        own.rule_id, own.category, own.title, source.tables, own.key, own.rows, own.order, source, where, show, distinct, times
+    )
+
+
+def keyed(rule_id: str, table: str, keys: Mapping[str, Callable[[], Column]], count: str | None = None, **more: object) -> None:
+    """State a registered check as a count of keys of a table."""
+    KEYED[rule_id] = KeyRule(RULES[rule_id], table, keys, count, **more)
+
+
 def row_rule(
     rule_id: str,
     category: str,

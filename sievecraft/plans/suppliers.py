@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, empty, is_missing, unset, zero
-from ..operators import attach, cardinality, duplicates, orphans, status_conflict
+from ..operators import at_most_one, attach, duplicates, orphans, status_conflict
 from .constants import BOUGHT, NO, SUPPLIER
 from .rule import DUPLICATE, INTEGRITY, INVALID, MISSING, Source, TableMap, row_rule, rule
 
@@ -47,10 +47,7 @@ row_rule(
 @rule("SUP-02", MISSING, "Bought items ordered from at most one supplier", "OITM POR1", "ItemCode")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
     items = sourced_items(t).select("ItemCode", "ItemName", F.col("CardCode").alias("FournisseurPrincipal"))
-    return cardinality(
-        items, t["POR1"], {"ItemCode": "ItemCode"},
-        {"NbFournisseursDifferents": F.count_distinct("CardCode")}, high=1, hot=False,
-    )
+    return at_most_one(items, t["POR1"], {"ItemCode": "ItemCode"}, "NbFournisseursDifferents", "CardCode", hot=False)
 
 
 @rule("SUP-03", INVALID, "Bought items whose default supplier is inactive", "OITM OCRD", "ItemCode CardCode")

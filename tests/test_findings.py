@@ -107,11 +107,10 @@ def _text(value):
     return None if value is None else str(value)
 
 
-def test_movements_are_read_once_for_their_newest_day(tables):
-    """STK-06 and ITM-20 share a shuffle, so the pack reads the largest table five times at most."""
+def test_scans_of_the_pack(tables):
+    """Checks that look at the same rows, or look up the same tables, read them together."""
     found = sievecraft.summary(sievecraft.findings(tables, AS_OF, details=False))
-    found.collect()
-    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
-    assert sum("lineitem" in line for line in scans) <= 5
-    assert sum("/part.parquet" in line for line in scans) < 58
+    for table, most in {"lineitem": 5, "part": 28, "supplier": 7, "customer": 4}.items():
+        assert sum(f"/{table}.parquet" in line for line in scans) <= most, table
