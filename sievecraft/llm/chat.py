@@ -71,7 +71,8 @@ def formatted_conversations(rows: DataFrame) -> DataFrame:
     role and text. A null role or text is empty, a null conv_id is a conversation of its own; repeated rows are
     repeated turns; other columns are not read. ``turns`` is what the parser makes of ``formatted``. Texts are
     first rendered as they are; where that holds a control string too many or the parser's turns differ
-    from the source, conflicting content is escaped (``escaped``), and then they agree. ``loss_spans`` (``start``, ``length``, in code points) are the places of
+    from the source, conflicting content is escaped (``escaped``) and the escaped form is parsed and compared in turn; a
+    difference that remains is an error. ``loss_spans`` (``start``, ``length``, in code points) are the places of
     the assistant's texts in ``formatted``, as written there.
 
     A conversation's text is one value of one row, so it must stay under Spark's 2 GB for a row.
@@ -92,16 +93,24 @@ def formatted_conversations(rows: DataFrame) -> DataFrame:
     written = tried.withColumn(
         "formatted", F.when(F.col("escaped"), render(F.col("source"), escaped=True)).otherwise(F.col("plain"))
     )
-    return written.select(
+    read = written.withColumn("turns", parse(F.col("formatted")))
+    agrees = F.col("turns").cast(_TURNS).eqNullSafe(F.col("source").cast(_TURNS))
+    return read.select(
         "conv_id",
         F.size("source").cast("long").alias("n_turns"),
         "formatted",
         "escaped",
-        parse(F.col("formatted")).alias("turns"),
+        F.when(agrees, F.col("turns")).otherwise(F.raise_error(F.lit("a formatted conversation reads back differently"))).alias("turns"),
         F.expr(_SPANS).alias("loss_spans"),
     )
 
 
+def loss_text(formatted: Column, loss_spans: Column) -> Column:
+    """What stands under the loss mask, unescaped, one span after the other."""
+    cut = F.transform(loss_spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    return F.array_join(cut, "")
+
+
 #: Places of the assistant's texts, from the lengths of the written pieces.
 _SPANS = rf"""
     aggregate(

@@ -79,7 +79,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """The model of labelled documents (``doc_id``, ``text``, ``lang``); those without label or letter teach nothing.
 
     Document frequencies are counted over all of them. Centroids are fitted on at most ``per_language``
-    documents of each language, those with the smallest hashes of doc_id.
+    documents of each language, those with the smallest hashes of doc_id, then of text. More than ``MAX_LANGUAGES``
+    different labels are an error. Rows that repeat a doc_id are documents of their own; those without one only count for the
+    frequencies. ``lang`` may clash with no column of the result, since none of ``docs`` is returned. An empty table gives a
+    model without languages.
     """
     labelled = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     frequency = np.zeros(FEATURES)
@@ -93,12 +96,19 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = docs.select("doc_id", "lang").where("lang IS NOT NULL")
-    counts = named.groupBy(F.col("lang").alias("counted")).count()
-    many = named.join(F.broadcast(counts.limit(MAX_LANGUAGES + 1)), F.col("lang") == F.col("counted"))
+    counted = named.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Bounded by MAX_LANGUAGES rows.
+    counts = F.broadcast(docs.sparkSession.createDataFrame(counted, "counted string, count bigint"))
+    many = named.join(counts, F.col("lang") == F.col("counted"))
     chosen = thinned(many, 2 * per_language / F.col("count"), "doc_id").select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash))
     chosen = chosen.where(F.col("rank") <= per_language).select("doc_id", F.col("lang").alias("own")).distinct()
-    # At most per_language rows of each language, and languages are few.
-    sample = labelled.join(F.broadcast(chosen), "doc_id").where("lang = own").select("lang", "text")
+    # At most per_language ids of each language, and languages are few. An id may have many rows, so these are ranked
+    # again; tasks keep the first ones before the shuffle.
+    sample = labelled.join(F.broadcast(chosen), "doc_id").where("lang = own")
+    by_text = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    sample = sample.withColumn("rank", F.row_number().over(by_text)).where(F.col("rank") <= per_language).select("lang", "text")
 
     def cluster(texts: pd.DataFrame) -> pd.DataFrame:
         known = [t for t in texts["text"] if ngram_counts(t) is not None]
@@ -115,9 +125,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         )
 
     found = sample.groupBy("lang").applyInPandas(cluster, "lang string, least array<double>, centroid binary")
-    rows = sorted(found.limit(MAX_LANGUAGES * CENTROIDS + 1).collect(), key=lambda r: (r["lang"], bytes(r["centroid"])))
-    if len(rows) > MAX_LANGUAGES * CENTROIDS:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # At most CENTROIDS rows of each language.
+    rows = sorted(found.collect(), key=lambda r: (r["lang"], bytes(r["centroid"])))
     centroids = [np.frombuffer(bytes(r["centroid"]), np.float32) for r in rows]
     return Model(
         [r["lang"] for r in rows],

@@ -3,16 +3,17 @@
 The words of each source are packed into blocks of fixed length. The output is a row of
 slots, cut into shards, and every slot of a shard draws its source, so that a shard's counts
 are multinomial. The k-th slot of a source takes the block that the source's pseudorandom
-permutation maps k to, and each further pass over the source has a permutation of its own.
+permutation maps k to, and each further pass over the source has a permutation of its own. A permutation is a number of rounds
+that each swap indices in random pairs or leave them (swap-or-not), so an index is mapped without any table.
 
-Nothing is ranked over a whole source at once: documents are placed within hashed chunks of
+Rows are placed by a hash of what they hold, never by where they were read, so the mix depends neither on how a
+table is split nor on its order. Equal rows are one with a number of copies. Nothing is ranked over a whole source at once: documents are placed within hashed chunks of
 a source, slots within their shard, and only the totals of chunks and shards are summed up.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -28,6 +29,8 @@ BLOCK, SHARD = 128, 65_536
 MAX_SOURCES = 10_000
 #: Documents of a chunk, within which they are placed one after the other.
 CHUNK = 20_000
+#: Rounds of a permutation, and copies of a row that are listed at a time.
+SWAPS, COPIES = 24, 1000
 
 
 class Source(NamedTuple):
@@ -40,7 +43,7 @@ class Source(NamedTuple):
 
 
 class Mixture(NamedTuple):
-    """``sources``: id, source, size, blocks, target, quota. ``pieces``: row, doc_id, source_id, size, block, start, words
+    """``sources``: id, source, size, blocks, target, quota. ``pieces``: identity, copy, doc_id, source_id, size, block, start, words
     (where a block's words come from; one piece without words for an empty text). ``slots``: shard, slot, source_id,
     block, epoch (which block each slot of the output holds)."""
 
@@ -76,7 +79,7 @@ def mixture(
     shard: int = SHARD,
     seed: int = 17,
 ) -> Mixture:
-    """A mix of all ``rows`` (``row``, unique; ``doc_id``, ``source``, ``size`` in words; from a stored table).
+    """A mix of all ``rows`` of ``sized_rows`` (``identity`` and ``copy``, unique together; ``doc_id``, ``source``, ``size`` in words).
 
     Sources by code point, null last (a source of its own), weigh ``weights``, repeating. A source is taken
     ``target / size`` times, to the nearest block; no block more than ``cap`` times. Slots that drew a source
@@ -90,7 +93,7 @@ def mixture(
     )
     # Bounded by MAX_SOURCES rows.
     names = F.broadcast(table.select(F.col("id").alias("source_id"), F.col("source").alias("own")))
-    known = rows.join(names, F.col("source").eqNullSafe(F.col("own"))).select("row", "doc_id", "source_id", "size")
+    known = rows.join(names, F.col("source").eqNullSafe(F.col("own"))).select("identity", "copy", "doc_id", "source_id", "size")
     return Mixture(table, _pieces(known, block), _slots(spark, sources, shard, seed))
 
 
@@ -111,15 +114,15 @@ def _sources(rows: DataFrame, weights: Sequence[float], share: float, cap: int,
 
 def _pieces(known: DataFrame, block: int) -> DataFrame:
     chunks = max(1, math.ceil(known.count() / CHUNK))
-    dealt = known.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
+    dealt = known.withColumn("chunk", F.pmod(F.xxhash64("identity", "copy"), F.lit(chunks)))
     totals = dealt.groupBy(F.col("source_id").alias("s"), F.col("chunk").alias("c")).agg(F.sum("size").alias("n"))
     before = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("s", "c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source_id", "chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_id", "chunk").orderBy("identity", "copy", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, (F.col("source_id") == F.col("s")) & (F.col("chunk") == F.col("c")))
     first = F.col("within") + F.col("offset")
-    placed = placed.select("row", "doc_id", "source_id", "size", first.alias("first"), (first + F.col("size")).alias("end"))
+    placed = placed.select("identity", "copy", "doc_id", "source_id", "size", first.alias("first"), (first + F.col("size")).alias("end"))
     covered = F.when(
         F.col("size") > 0, F.sequence(F.expr(f"first DIV {block}"), F.expr(f"(end - 1) DIV {block}"))
     )
@@ -127,7 +130,7 @@ def _pieces(known: DataFrame, block: int) -> DataFrame:
     start = F.greatest("first", F.col("block") * block)
     stop = F.least("end", (F.col("block") + 1) * block)
     return spread.select(
-        "row", "doc_id", "source_id", "size", "block", (start - F.col("first")).alias("start"), (stop - start).alias("words")
+        "identity", "copy", "doc_id", "source_id", "size", "block", (start - F.col("first")).alias("start"), (stop - start).alias("words")
     )
 
 
@@ -194,62 +197,77 @@ def _slots(spark, sources: list[Source], shard: int, seed: int) -> DataFrame:
 
     blocks = F.get(_values([s.blocks for s in sources], "bigint"), source)
     epochs = moved.withColumn("blocks", blocks).withColumn("epoch", F.expr("k DIV blocks"))
-    passes = max(-(-s.quota // s.blocks) for s in sources if s.blocks)
-    factor, shift = F.lit(None), F.lit(None)
-    for epoch in range(passes):
-        chosen = [_permutation(s.blocks, f"{seed} {s.id} {epoch}") for s in sources]
-        this = F.col("epoch") == epoch
-        factor = F.when(this, F.get(_values([f for f, _ in chosen], "bigint"), source)).otherwise(factor)
-        shift = F.when(this, F.get(_values([f for _, f in chosen], "bigint"), source)).otherwise(shift)
-    wide = (F.expr("k % blocks").cast("decimal(18,0)") * factor.cast("decimal(18,0)") + shift.cast("decimal(18,0)")) % F.col(
-        "blocks"
-    ).cast("decimal(18,0)")
-    return epochs.select("shard", "slot", "source_id", wide.cast("bigint").alias("block"), "epoch")
-
-
-def _permutation(n: int, seed: str) -> tuple[int, int]:
-    """Factor and shift of k -> (factor * k + shift) mod n, which permutes 0 .. n - 1."""
-    numbers = random.Random(seed)
-    if n < 2:
-        return 1, 0
-    factor = numbers.randrange(1, n)
-    while math.gcd(factor, n) > 1:
-        factor = numbers.randrange(1, n)
-    return factor, numbers.randrange(n)
-
-
-def sized_rows(docs: DataFrame) -> DataFrame:
-    """``row``, ``doc_id``, ``source`` and ``size`` of every row of ``docs`` (``doc_id``, ``source``, ``text``), as a stored table."""
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", text_size(F.col("text")).alias("size"))
-    return settled(sized, "sizes")
+    place = _permuted(F.expr("k % blocks"), F.col("blocks"), F.lit(f"{seed}"), source, F.col("epoch"))
+    return epochs.select("shard", "slot", "source_id", place.alias("block"), "epoch")
+
+
+def _permuted(index: Column, n: Column, *key: Column) -> Column:
+    """Where the permutation of 0 .. n - 1 that ``key`` names takes ``index``.
+
+    In each round a random number pairs every index x with (number - x) mod n, and a random bit of the pair, the
+    same seen from either side, tells whether its two places are swapped.
+    """
+
+    def swapped(x: Column, turn: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit("pair"), turn, *key), n) - x, n)
+        bit = F.xxhash64(F.lit("swap"), turn, F.greatest(x, other), *key).bitwiseAND(F.lit(1))
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SWAPS)), index.cast("bigint"), swapped)
+
+
+def sized_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """``identity`` (hash of the row), ``copy`` (from 0), ``doc_id``, ``source`` and ``size`` of every row of ``docs``, as a stored table.
+
+    ``docs`` holds ``doc_id``, ``source`` and ``text``; rows that also agree in the further ``columns`` are copies of each other.
+    """
+    identity = _identity("doc_id", "source", "text", *columns)
+    sized = docs.select(identity.alias("identity"), "doc_id", "source", text_size(F.col("text")).alias("size"))
+    counted = sized.groupBy("identity", "doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    # In two steps, so that no array grows with the number of copies.
+    blocks = counted.withColumn("of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) DIV {COPIES}"))))
+    inside = F.sequence(F.col("of") * COPIES, F.least(F.col("copies"), (F.col("of") + 1) * COPIES) - 1)
+    return settled(blocks.select("identity", F.explode(inside).alias("copy"), "doc_id", "source", "size"), "sizes")
+
+
+def _identity(*columns: str) -> Column:
+    """A hash of a row that does not take a null for an absent column."""
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
 
 
 def taken_words(mix: Mixture) -> DataFrame:
-    """``doc_id``, ``source_id``, ``size`` and ``taken`` for every row: the words that the slots hold of it, repeats counted."""
+    """``doc_id``, ``source_id``, ``size`` and ``taken`` for every row: the words that the slots hold of it, repeats counted.
+
+    A row of a null or empty text has size and taken 0; equal rows have a result each; an empty table gives none.
+    """
     times = mix.slots.groupBy(F.col("source_id").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
     drawn = mix.pieces.join(times, (F.col("source_id") == F.col("s")) & (F.col("block") == F.col("b")), "left")
     words = F.coalesce(F.col("words") * F.col("times"), F.lit(0))
-    return drawn.groupBy("row", "doc_id", "source_id", "size").agg(F.sum(words).alias("taken")).drop("row")
+    return drawn.groupBy("identity", "copy", "doc_id", "source_id", "size").agg(F.sum(words).alias("taken")).drop("identity", "copy")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, in the columns of ``docs``: for each pass over its source, a row with what was taken of a text.
 
     A text taken whole stays as it is; of others the taken words follow each other, one space apart.
-    ``n_chars``, if there is such a column, is the new length. Documents without a taken word go.
+    ``n_chars``, if there is such a column, is the new length. Documents without a taken word go, and so do null and
+    empty texts. Rows that are equal in all columns are mixed each on its own, and give equal rows where the same words of them
+    were taken. A table without a word gives no rows. Names of temporary columns begin with two underscores; ``docs`` must not have such.
     """
-    numbered = settled(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(
-        F.col("__row").alias("row"), "doc_id", "source", text_size(F.col("text")).alias("size")
-    )
-    mix = mixture(settled(rows, "sizes"), **options)
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = settled(numbered.withColumn("__identity", _identity("doc_id", "source", "text", *others)), "numbered")
+    mix = mixture(sized_rows(numbered, *others), **options)
     slots = mix.slots.select(F.col("source_id").alias("s"), F.col("block").alias("b"), "epoch")
     places = mix.pieces.join(slots, (F.col("source_id") == F.col("s")) & (F.col("block") == F.col("b")))
     place = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.col("words")).cast("int").alias("stop"))
-    parts = places.groupBy(F.col("row").alias("__of"), F.col("epoch").alias("__epoch"), F.col("size").alias("__size")).agg(
+    parts = places.groupBy("identity", "copy", "epoch", F.col("size").alias("__size")).agg(
         F.sum("words").alias("__words"), F.sort_array(F.collect_list(place)).alias("places")
     )
-    parts = parts.select("__of", "__size", "__words", F.expr(MERGED_PLACES).alias("__places"))
+    parts = parts.select("identity", "__size", "__words", F.expr(MERGED_PLACES).alias("__places"))
+    # One of equal rows gives the text of all.
+    first = numbered.groupBy(F.col("__identity").alias("own")).agg(F.min("__row").alias("__of"))
+    parts = parts.join(first, F.col("identity") == F.col("own")).drop("own", "identity")
     joined = numbered.join(parts, F.col("__row") == F.col("__of"))
     some = F.expr(
         r"array_join(flatten(transform(__places, p -> slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), "

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest, valid_vectors
-from .chat import formatted_conversations
+from .chat import formatted_conversations, loss_text
 from .decontaminate import contamination
 from .divergence import source_divergence
 from .language_id import fit, held_out, predict
@@ -102,8 +102,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], given.schema)
     made = formatted_conversations(given.unionByName(planted))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learned = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
-    loss = F.array_join(learned, "")
+    loss = loss_text(F.col("formatted"), F.col("loss_spans"))
     return made.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
