@@ -79,10 +79,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """The model of labelled documents (``doc_id``, ``text``, ``lang``); those without label or letter teach nothing.
 
     Document frequencies are counted over all of them. Centroids are fitted on at most ``per_language``
-    documents of each language, those with the smallest hashes of doc_id, then of text. More than ``MAX_LANGUAGES``
-    different labels are an error. Rows that repeat a doc_id are documents of their own; those without one only count for the
-    frequencies. ``lang`` may clash with no column of the result, since none of ``docs`` is returned. An empty table gives a
-    model without languages.
+    different documents of each language, those with the smallest hashes of doc_id and text. More than ``MAX_LANGUAGES``
+    different labels are an error. Rows that repeat a doc_id are documents of their own; rows that also repeat its text
+    count for the frequencies each, but are one document of the sample. An empty table gives a model without languages.
     """
     labelled = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     frequency = np.zeros(FEATURES)
@@ -94,21 +93,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             frequency[row["feature"]] = row["n"]
     idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float32)
 
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    named = docs.select("doc_id", "lang").where("lang IS NOT NULL")
-    counted = named.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counted) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # Bounded by MAX_LANGUAGES rows.
-    counts = F.broadcast(docs.sparkSession.createDataFrame(counted, "counted string, count bigint"))
-    many = named.join(counts, F.col("lang") == F.col("counted"))
-    chosen = thinned(many, 2 * per_language / F.col("count"), "doc_id").select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash))
-    chosen = chosen.where(F.col("rank") <= per_language).select("doc_id", F.col("lang").alias("own")).distinct()
-    # At most per_language ids of each language, and languages are few. An id may have many rows, so these are ranked
-    # again; tasks keep the first ones before the shuffle.
-    sample = labelled.join(F.broadcast(chosen), "doc_id").where("lang = own")
-    by_text = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = sample.withColumn("rank", F.row_number().over(by_text)).where(F.col("rank") <= per_language).select("lang", "text")
+    sample = sampled(docs, per_language)
 
     def cluster(texts: pd.DataFrame) -> pd.DataFrame:
         known = [t for t in texts["text"] if ngram_counts(t) is not None]
@@ -136,6 +121,24 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     )
 
 
+def sampled(docs: DataFrame, per_language: int) -> DataFrame:
+    """``lang`` and ``text`` of at most ``per_language`` different labelled documents of each language."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("key"), "lang", "text")
+    counted = labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Bounded by MAX_LANGUAGES rows.
+    counts = F.broadcast(docs.sparkSession.createDataFrame(counted, "counted string, n bigint"))
+    many = labelled.select("key", "lang").join(counts, F.col("lang") == F.col("counted"))
+    chosen = thinned(many, 2 * per_language / F.col("n"), "key").select("key", "lang").distinct()
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    chosen = chosen.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
+    # At most per_language keys of each language, and languages are few. Rows that repeat one are one.
+    few = F.broadcast(chosen.select(F.col("key").alias("k"), F.col("lang").alias("own")))
+    found = labelled.join(few, (F.col("key") == F.col("k")) & (F.col("lang") == F.col("own")))
+    return found.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def _document_frequency(texts: DataFrame) -> DataFrame:
     """``feature`` and ``n``, its documents; feature -1 is the number of all."""
 

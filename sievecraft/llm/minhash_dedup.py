@@ -20,7 +20,8 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.references import splittable
@@ -29,7 +30,7 @@ from .bits import BITS, bit_table, bits_of, passes
 from .components import components
 from .near import SET_BLOCK, SIGNATURE_BLOCK, close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
 from .scratch import settled
-from .shingles import mixed, signature, word_shingles
+from .shingles import signature, word_shingles
 
 SLOTS, CHUNK = 64, 4
 GUARANTEED = 2 * (SLOTS // CHUNK) - 1
@@ -46,24 +47,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     A text with fewer words has one shingle, all of it; a null text or one without words has
     none, is linked with nothing and kept. Texts with equal sets are one class from the start.
     Rows that repeat a doc_id are judged each by its own text. Rows without doc_id belong to
-    the class of their set and are kept only if that class has no doc_id. Other columns,
-    whatever their names, are not read.
+    the class of their set and are kept only if that class has no doc_id, which is then null for all of it. ``doc_id`` may be
+    of any type that can be ordered. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent is {percent}, but signatures find all links from {LEAST_PERCENT} to 100 only")
     given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     seen = settled(_signed(given, width), "signed")
-    sets = settled(
+    # The node of a set is a number of its own: one doc_id may stand for several texts. ``place`` is where its text is read again.
+    place = F.struct("doc_id", "text_hash")
+    sets = (
         seen.where("n_shingles > 0")
         .groupBy("fingerprint")
-        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")),
-        "sets",
+        .agg(
+            F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("named"),
+            F.min("text_hash").alias("any"),
+            F.first("signature").alias("signature"),
+        )
+        .select("fingerprint", F.col("named.doc_id").alias("first"), F.coalesce("named.text_hash", "any").alias("hash"), "signature")
     )
-    linked = components(_links(given, sets.where("node IS NOT NULL"), width, percent))
-    classes = sets.select(F.col("fingerprint").alias("own"), "node").join(
-        splittable(linked.withColumnRenamed("node", "member")), F.col("node") == F.col("member"), "left"
+    sets = settled(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    linked = components(_links(given, sets, width, percent)).withColumnRenamed("node", "member")
+    firsts = linked.join(splittable(sets.select("node", "first")), F.col("member") == F.col("node"))
+    heads = firsts.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("head"))
+    moved = linked.join(splittable(heads), F.col("component") == F.col("c")).select("member", "head")
+    classes = sets.select(F.col("fingerprint").alias("own"), "node", "first").join(
+        splittable(moved), F.col("node") == F.col("member"), "left"
     )
-    classes = classes.select("own", F.coalesce("component", "node").alias("smallest"))
+    classes = classes.select("own", F.coalesce("head", "first").alias("smallest"))
     placed = seen.join(splittable(classes), F.col("fingerprint") == F.col("own"), "left")
     component = F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     return placed.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
@@ -72,7 +83,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; none may be called ``__own`` or ``__own_hash``."""
     dropped = near_duplicates(docs, width, percent).where("NOT kept").select(
         F.col("doc_id").alias("__own"), F.col("text_hash").alias("__own_hash")
     )
@@ -87,7 +98,7 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     )
     met = shared_keys(keyed).select(F.col("node").alias("id"), "key", "members")
     met = met.join(splittable(sets.select("node", "signature")), F.col("id") == F.col("node")).drop("id")
-    near_type = f"a {sets.schema['node'].dataType.simpleString()}, b {sets.schema['node'].dataType.simpleString()}"
+    near_type = "a long, b long"
     near = per_block_pair(
         in_block_pairs(met, F.xxhash64("node", F.lit(1)), SIGNATURE_BLOCK), partial(close_links, threshold=GUARANTEED), near_type
     )
@@ -96,9 +107,17 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     member = families.join(splittable(sizes), "component").select(
         F.col("node").alias("id"), F.xxhash64("component").alias("key"), "members"
     )
-    wanted = sets.select("node", "fingerprint").join(member, F.col("node") == F.col("id")).drop("id")
-    texts = _passing(given, wanted).join(splittable(wanted), F.col("doc_id") == F.col("node"))
-    filled = _with_sets(texts, width).dropDuplicates(["node", "fingerprint"]).drop("fingerprint")
+    wanted = sets.select("node", "fingerprint", "first", "hash").join(member, F.col("node") == F.col("id")).drop("id")
+    shared = _wanted_bits(wanted)
+    named = _passing(given.where("doc_id IS NOT NULL"), shared).join(
+        splittable(wanted), (F.col("doc_id") == F.col("first")) & (F.col("text_hash") == F.col("hash"))
+    )
+    # Of texts that no row with a doc_id has, one is enough; copies combine before the shuffle.
+    nameless = _passing(given.where("doc_id IS NULL"), shared).groupBy("text_hash").agg(F.first("text").alias("text"))
+    nameless = nameless.join(splittable(wanted.where("first IS NULL")), F.col("text_hash") == F.col("hash"))
+    columns = ["text", "node", "fingerprint", "key", "members"]
+    filled = _with_sets(named.select(columns).union(nameless.select(columns)), width)
+    filled = filled.dropDuplicates(["node", "fingerprint"]).drop("fingerprint")
     return per_block_pair(
         in_block_pairs(filled, F.xxhash64("node", F.lit(1)), SET_BLOCK),
         partial(similar_links, threshold=GUARANTEED, percent=percent),
@@ -106,26 +125,29 @@ def _links(given: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     )
 
 
-def _passing(given: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the wanted documents, and of few others: the join shuffles only these."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from bits_of(_numbers(batch.column("node")))
+def _place_number() -> Column:
+    return F.xxhash64("doc_id", "text_hash").bitwiseAND(F.lit((1 << 56) - 1)).alias("number")
 
-    shared = bit_table(wanted.select("node").mapInArrow(bits, BITS))
 
+def _wanted_bits(wanted: DataFrame) -> Broadcast:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.filter(batch.column("doc_id").is_valid())
-            yield known.filter(pa.array(passes(shared.value, _numbers(known.column("doc_id")))))
+            yield from bits_of(batch.column("number").to_numpy())
+
+    places = wanted.select(F.col("first").alias("doc_id"), F.col("hash").alias("text_hash"))
+    return bit_table(places.select(_place_number()).mapInArrow(run, BITS))
 
-    texts = given.select("doc_id", "text")
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string")
 
+def _passing(given: DataFrame, shared: Broadcast) -> DataFrame:
+    """The texts of the wanted documents, and of few others: the joins shuffle only these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.filter(pa.array(passes(shared.value, batch.column("number").to_numpy())))
+            yield found.select(["doc_id", "text_hash", "text"])
 
-def _numbers(ids: pa.Array) -> np.ndarray:
-    return (mixed(ids.to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(8)).astype(np.int64)
+    texts = given.select("doc_id", "text_hash", "text", _place_number())
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_hash long, text string")
 
 
 def _key_columns() -> list:
@@ -179,7 +201,6 @@ def _with_sets(texts: DataFrame, width: int) -> DataFrame:
                 names=["node", "fingerprint", "key", "members", "signature", "shingles"],
             )
 
-    kind = texts.schema["node"].dataType.simpleString()
-    return texts.select("text", "node", "fingerprint", "key", "members").mapInArrow(
-        run, f"node {kind}, fingerprint binary, key long, members long, signature binary, shingles array<bigint>"
+    return texts.mapInArrow(
+        run, "node long, fingerprint binary, key long, members long, signature binary, shingles array<bigint>"
     )

@@ -14,6 +14,7 @@ entry for each record: doc_id, whether there is one, place in the data file, and
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -63,15 +64,30 @@ def _write_framed(out: BinaryIO, payload: bytes) -> None:
     out.write(_CHECK.pack(masked_checksum(payload)))
 
 
+def cuts_as_known(tokenizer: dict) -> bool:
+    """Whether a tokenizer file (its JSON) cuts texts as ``PIECES`` does and merges the letters of their bytes only."""
+    cutting, model = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("model") or {}
+    return (
+        tokenizer.get("normalizer") is None
+        and cutting.get("type") == "ByteLevel"
+        and not cutting.get("add_prefix_space", True)
+        and cutting.get("use_regex", True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    )
+
+
 class _Encoder:
     """Ids of texts as bytes. A text of plain characters is cut into pieces, equal pieces are encoded once: merges
-    never cross pieces. Other texts, and those that hold an added token, are encoded as they are."""
+    never cross pieces. Other texts, those that hold an added token, and all texts if the file asks for another
+    cutting, are encoded as they are."""
 
     def __init__(self, path: str, special: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = cuts_as_known(json.loads(self.tokenizer.to_str()))
         self.tokenizer.encode_special_tokens = not special
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
@@ -89,7 +105,7 @@ class _Encoder:
         return array(self.kind, [token.id for token in self.model.tokenize(letters)]).tobytes()
 
     def _plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(token in text for token in self.added)
+        return self.cuts and PLAIN.fullmatch(text) is not None and not any(token in text for token in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [PIECES.findall(text) if self._plain(text) else None for text in texts]
@@ -123,7 +139,7 @@ def write_records(
 ) -> DataFrame:
     """Writes every text of ``docs`` (``doc_id``, ``text``) in ascending doc_id order; returns the table of shards.
 
-    ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, the same on all machines.
+    ``tokenizer`` is the path of a file of the tokenizers library, the same on all machines. ``doc_id`` is a bigint.
     Where a text holds a special token's literal text, ``special`` gives it that token's id, as the library does by
     default; without it, the literal text is encoded like any other. Other added tokens of the file get their ids in both
     cases. Each document's ids end with ``end_id``. A null text is empty and so has that id only. Rows without

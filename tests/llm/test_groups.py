@@ -162,6 +162,28 @@ def test_odd_documents(spark):
     assert sorted(r.component_id for r in kept.collect()) == list("abcddfhiklmn")
 
 
+LONG = " ".join(f"w{k}" for k in range(60))
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_one_id_for_several_texts(spark, kind):
+    """A text is not dragged along by another one of its id."""
+    rows = [(3, LONG + " x"), (5, LONG), (5, "an unrelated text of five words and more"), (7, "one more text that nothing else is like"), (7, LONG + " y")]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text").repartition(3)
+    found = {(str(r.doc_id), r.n_shingles): (str(r.component_id), r.kept) for r in near_duplicates(docs).collect()}
+    assert found == {("3", 57): ("3", True), ("5", 56): ("3", False), ("5", 4): ("5", True), ("7", 4): ("7", True), ("7", 57): ("3", False)}
+    assert sorted(r.text for r in drop_near_duplicates(docs).collect()) == sorted(rows[k][1] for k in (0, 2, 3))
+
+
+def test_near_sets_without_id(spark):
+    """They join the class of a near copy with an id; a class that has none is kept whole."""
+    rows = [(None, LONG + " x"), (9, LONG), (None, LONG + " x"), (None, LONG[::-1] + " a"), (None, LONG[::-1] + " b"), (8, LONG + " z")]
+    found = near_duplicates(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == {
+        (None, 8, False): 2, (9, 8, False): 1, (8, 8, True): 1, (None, None, True): 2,
+    }
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], DOCS)
     assert near_duplicates(none).count() == 0 and drop_near_duplicates(none).count() == 0

@@ -6,10 +6,12 @@ import base64
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from conftest import TESTDATA
-from sievecraft.llm.language_id import fit, held_out, predict
+from sievecraft.llm import language_id
+from sievecraft.llm.language_id import fit, held_out, ngram_counts, predict, sampled
 from sievecraft.llm.queries import op3_language_id
 
 
@@ -97,3 +99,65 @@ def test_texts_of_the_languages_are_kept_whole_and_cut(docs, model):
     for size in (30, 100, 1000):
         cut = predict(docs.where(held_out()).selectExpr(f"substr(text, 1, {size}) AS text"), model).where("score > 0")
         assert cut.where("rejected").count() <= 0.01 * cut.count()
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    """Also if each has few texts, and so fewer centroids than others."""
+    docs = spark.createDataFrame([(k, f"text of language {'abcdefghij'[k]}", f"l{k}") for k in range(10)], "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 10)
+    assert len(set(fit(docs).languages)) == 10
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="3 languages"):
+        fit(docs)
+
+
+def test_an_id_with_very_many_rows(spark):
+    """A language is fitted on a bounded number of rows, however many share an id; reruns agree."""
+    rows = [(1, f"the very same id again {'abcdefghijklmnopqrstuvwxyz'[k % 26] * (k % 40 + 1)}", "en") for k in range(3000)]
+    rows += [(1, "always the same row", "en")] * 3000
+    rows += [(k, f"ein anderer satz mit {'xyz'[k % 3] * k}", "de") for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    assert {r.lang: r["count"] for r in sampled(docs, 50).groupBy("lang").count().collect()} == {"en": 50, "de": 28}
+    assert sampled(docs, 50).where("text = 'always the same row'").count() <= 1
+    found, again = fit(docs, per_language=50), fit(docs.repartition(7), per_language=50)
+    assert found.languages == again.languages and np.array_equal(found.centroids, again.centroids)
+
+
+def test_predictions_against_brute_force(docs, model):
+    """Counts of n-grams by plain Python, idf, cosine and nearest centroid one text at a time."""
+    for row in predict(docs.where("doc_id % 9 = 0"), model).collect():
+        counts = brute_counts(row.text or "")
+        if not counts:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        weights = {f: np.log1p(n) * float(model.idf[f]) for f, n in counts.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        cosines = [sum(w * float(c[f]) for f, w in weights.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosines))
+        assert abs(row.score - max(cosines)) < 1e-4
+        assert row.lang_pred == model.languages[best] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-5
+
+
+def brute_counts(text):
+    """Hashes of the 2- and 3-grams of letters, words one space apart, between spaces; what follows the last letter is one more."""
+    blanked = "".join(c if c.isalpha() else " " for c in text.lower())
+    words = blanked.split()
+    if not words:
+        return {}
+    points = [ord(c) for c in " " + " ".join(words) + "  "[: 1 + blanked.endswith(" ")]]
+    counts = {}
+    for k in range(len(points) - 1):
+        pair = (points[k] * 0x9E3779B1 + points[k + 1] * 0x85EBCA77) & 0xFFFFFFFF
+        found = [pair >> 19]
+        if k + 2 < len(points):
+            found.append(((pair * 0xC2B2AE3D + points[k + 2] * 0x27D4EB2F) & 0xFFFFFFFF) >> 19)
+        for f in found:
+            counts[f] = counts.get(f, 0) + 1
+    return counts
+
+
+def test_brute_counts_are_those_of_the_library():
+    for text in (FINNISH, DUTCH, "a", "x1y", "  Ä b", "漢字 仮名"):
+        found = ngram_counts(text)
+        assert {int(f): int(found[f]) for f in np.flatnonzero(found)} == brute_counts(text)
+    assert ngram_counts("1 2") is None and brute_counts("1 2") == {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -10,12 +11,12 @@ import pytest
 import regex
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 import corpus_pipeline
 from conftest import TESTDATA
 from sievecraft.llm.queries import op4_token_records
-from sievecraft.llm.token_records import PIECES, PLAIN, masked_checksum, read_records, write_records
+from sievecraft.llm.token_records import PIECES, PLAIN, cuts_as_known, masked_checksum, read_records, write_records
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ROWS = [
@@ -110,3 +111,22 @@ def test_an_added_token_that_is_not_special(spark, tmp_path):
     for special in (False, True):
         found = read_records(write_records(docs, path, 2, special=special)).collect()
         assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found} == {k: ids(library, t) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("change", ["prefix", "normalizer", "cutting"])
+def test_files_that_cut_in_another_way(spark, tmp_path, change):
+    """The cutting made for byte-level files is used for files that ask for it only."""
+    library = Tokenizer.from_file(PATH)
+    if change == "prefix":
+        library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    elif change == "normalizer":
+        library.normalizer = normalizers.Sequence([normalizers.NFKC(), normalizers.Lowercase()])
+    else:
+        library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    path = f"{tmp_path}/changed.json"
+    library.save(path)
+    texts = ["Hello world 1234", "ﬁne ½", "漢字 123", "", "  Hello"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = read_records(write_records(docs, path, 2)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found} == {k: ids(library, t) for k, t in enumerate(texts)}
+    assert not cuts_as_known(json.loads(library.to_str())) and cuts_as_known(json.loads(Tokenizer.from_file(PATH).to_str()))
