@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sievecraft.operators import hierarchy
 from sievecraft.operators import (
     attach, cardinality, compare, copies, cycle_members, deeper_than, duplicates, in_order, latest, missing, orphans,
     self_loops, stale, status_conflict,
@@ -190,6 +191,49 @@ def test_cycle_members(spark, graphs):
     assert [node for (node,) in rows(cycle_members(df, "p", "c"))] == expected
 
 
+def chained(edges, draw, longest):
+    """The graph with some links stretched to chains."""
+    found = []
+    for n, (a, b) in enumerate(edges):
+        inner = [f"{a}-{b}-{n}-{k}" for k in range(draw.choice([0, 0, 1, 2, longest]))]
+        found += list(zip([a, *inner], [*inner, b], strict=True))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_with_long_chains(spark, seed):
+    draw = random.Random(seed)
+    edges = []
+    for g in range(12):
+        nodes = [f"{g}/{i:02d}" for i in range(draw.randint(2, 9))]
+        own = [(draw.choice(nodes), draw.choice(nodes)) for _ in range(int(len(nodes) * draw.choice([1.0, 1.4, 2.0])))]
+        edges += chained(own, draw, 9)
+    df = spark.createDataFrame(edges, "p string, c string")
+    expected = sorted(node for node, seen in below(edges).items() if node in seen)
+    assert [node for (node,) in rows(cycle_members(df, "p", "c"))] == expected
+
+
+def test_rounds_grow_with_the_logarithm_of_a_ring(spark, monkeypatch):
+    """A ring of 10,000 nodes with a path in and a path out, and rings that share a node."""
+    stored, taken = hierarchy._stored, []
+
+    def counted(*given):
+        taken.append(1)
+        return stored(*given)
+
+    monkeypatch.setattr(hierarchy, "_stored", counted)
+    n = 10_000
+    ring = [(k, (k + 1) % n) for k in range(n)]
+    paths = [(k, k + 1) for k in range(n, n + 3000)] + [(n + 3000, 0), (5, 2 * n)] + [(k, k + 1) for k in range(2 * n, 2 * n + 3000)]
+    eight = [(3 * n + k, 3 * n + (k + 1) % 500) for k in range(500)] + [(3 * n, 4 * n), (4 * n, 4 * n + 1), (4 * n + 1, 3 * n)]
+    plain = {"ring": (ring, n), "all": (ring + paths + eight, n + 502)}
+    for edges, expected in plain.values():
+        taken.clear()
+        found = {r.node for r in cycle_members(spark.createDataFrame(edges, "p int, c int"), "p", "c").collect()}
+        assert len(found) == expected and found <= set(range(n)) | set(range(3 * n, 3 * n + 500)) | {4 * n, 4 * n + 1}
+        assert len(taken) < 40
+
+
 def test_no_cycle_members(spark):
     df = spark.createDataFrame(GRAPHS["diamond"], "p string, c string")
     assert rows(cycle_members(df, "p", "c")) == []
