@@ -28,15 +28,15 @@ from .bits import BITS, bit_table, bits_of, passes
 from .components import components
 from .near import SET_BLOCK, SIGNATURE_BLOCK, close_links, in_block_pairs, per_block_pair, shared_keys, similar_links
 from .scratch import settled
-from .shingles import character_shingles, mixed, windows
+from .shingles import MULTIPLIER, character_shingles, mixed, windows
 
 SHINGLE, SLOTS, ROWS = 8, 60, 5
 #: Signatures of lines with a similarity of 0.8 differ in more slots with a probability under one in a thousand.
 THRESHOLD = 22
 #: Bands and cut are made for this similarity and higher ones.
 LEAST_PERCENT = 80
-#: Characters whose lines are hashed at a time.
-_CHARS = 1 << 18
+#: Characters whose lines are hashed at a time, and keys that a task sorts at a time.
+_CHARS, _KEYS = 1 << 18, 1 << 22
 
 
 def normal(line: str) -> str:
@@ -106,18 +106,23 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     error, since bands and cut would lose most links) are linked; the
     line that is first by doc_id and place in its component stays (``first_doc_id``, ``first_line``). Blank lines,
     and so empty and null texts, are kept as they are and have no first line. Rows without doc_id come first.
-    Rows that repeat a doc_id have lines of the same names; the first of such lines is kept in each. Other columns are not read.
+    Rows that repeat a doc_id have lines of the same names; the first of such lines is kept in each. ``doc_id`` may be of any
+    type that can be ordered. An empty table gives no rows. Other columns are not read.
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent is {percent}, but bands and cut are made for {LEAST_PERCENT} to 100")
-    given = docs.select("doc_id", "text")
+    # ``number`` stands for the doc_id of any type.
+    given = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("number"))
     kind = given.schema["doc_id"].dataType.simpleString()
     place = F.struct(F.col("doc_id"), F.col("line"))
+    # Lines are cut, folded and hashed once; a batch signs equal ones once.
+    placed = settled(given.mapInArrow(_placed_lines, f"doc_id {kind}, number long, line int, print binary, signature binary"), "placed")
     distinct = (
-        given.mapInArrow(_signed_lines, f"doc_id {kind}, line int, print binary, signature binary")
+        placed.where("signature IS NOT NULL")
         .groupBy("print")
-        .agg(F.min(place).alias("first"), F.first("signature").alias("signature"))
+        .agg(F.min(F.struct(F.col("doc_id"), F.col("line"), F.col("number"))).alias("first"), F.first("signature").alias("signature"))
     )
+    distinct = distinct.select("print", F.struct("first.doc_id", "first.line").alias("first"), F.col("first.number").alias("number"), "signature")
     classes = settled(distinct.withColumn("node", F.monotonically_increasing_id()), "lines")
     linked = _components(given, classes, percent)
     firsts = linked.join(splittable(classes.select(F.col("node").alias("own"), "first", "print")), F.col("node") == F.col("own"))
@@ -126,8 +131,7 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     known = classes.select(F.col("print").alias("own"), "first").join(splittable(moved), F.col("own") == F.col("moved"), "left")
     known = known.select("own", F.coalesce("head", "first").alias("head"))
 
-    placed = given.mapInArrow(_printed_lines, f"doc_id {kind}, line int, print binary")
-    judged = placed.join(splittable(known), F.col("print") == F.col("own"), "left")
+    judged = placed.select("doc_id", "line", "print").join(splittable(known), F.col("print") == F.col("own"), "left")
     head = F.when(F.col("print").isNotNull(), F.col("head"))
     return judged.select(
         "doc_id",
@@ -139,7 +143,11 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the lines that ``line_classes`` does not keep; all columns stay, and so do texts without such lines."""
+    """``docs`` without the lines that ``line_classes`` does not keep; all columns stay, and so do texts without such lines.
+
+    A null text stays null, and one that loses all its lines is empty. Rows that repeat a doc_id lose the same lines. An empty
+    table stays empty. ``docs`` must not have columns ``__own`` or ``__dropped``.
+    """
     dropped = line_classes(docs, percent).where("NOT kept").groupBy(F.col("doc_id").alias("__own"))
     lists = dropped.agg(F.collect_set("line").alias("__dropped"))
     joined = docs.join(splittable(lists), docs["doc_id"].eqNullSafe(F.col("__own")), "left")
@@ -162,10 +170,10 @@ def _components(given: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     member = families.join(splittable(sizes), F.col("component") == F.col("c")).select(
         F.col("node").alias("id"), F.xxhash64("component").alias("key"), "members"
     )
-    wanted = settled(
-        member.join(splittable(classes.select("node", "print")), F.col("id") == F.col("node")).drop("id"), "families"
-    )
+    known = classes.select("node", "print", "number", F.col("first.line").alias("line"))
+    wanted = settled(member.join(splittable(known), F.col("id") == F.col("node")).drop("id"), "families")
     texts = given.mapInArrow(partial(_wanted_lines, shared=_wanted_bits(wanted)), "found binary, text string").dropDuplicates(["found"])
+    wanted = wanted.drop("number", "line")
     matched = texts.join(splittable(wanted), F.col("found") == F.col("print")).select("node", "key", "members", "text")
     return components(
         per_block_pair(
@@ -213,23 +221,38 @@ def band_keys(rows: list[bytes]) -> np.ndarray:
     return mixed(packed)
 
 
+def _short_keys(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Short forms of all keys, sorted, a row for each range that has any; many batches are one."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((band_keys(batch.column("signature").to_pylist()).ravel() >> np.uint64(32)).astype(np.uint32))
+        size += len(held[-1])
+        if size >= _KEYS:
+            yield _in_ranges(held, ranges)
+            held, size = [], 0
+    if size:
+        yield _in_ranges(held, ranges)
+
+
+def _in_ranges(held: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    short = np.sort(np.concatenate(held))
+    borders = np.searchsorted(short, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+    cut = np.split(short, borders)
+    filled = [k for k, part in enumerate(cut) if len(part)]
+    columns = [pa.array(filled, pa.int64()), pa.array([cut[k].tobytes() for k in filled], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["range", "short"])
+
+
 def _repeated(classes: DataFrame) -> Broadcast:
     """A table of bits for the keys that occur more than once; short forms of the keys are sorted to find them."""
     ranges = max(256, -(-classes.count() // 100_000))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = np.sort((band_keys(batch.column("signature").to_pylist()).ravel() >> np.uint64(32)).astype(np.uint32))
-            borders = np.searchsorted(short, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-            cut = [p.tobytes() for p in np.split(short, borders)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int64()), pa.array(cut, pa.binary())], ["range", "short"])
-
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.sort(np.frombuffer(b"".join(p for batch in batches for p in batch.column("short").to_pylist()), np.uint32))
         often = np.unique(short[1:][short[1:] == short[:-1]])
         yield from bits_of(often.astype(np.int64))
 
-    rows = classes.select("signature").mapInArrow(packed, "range long, short binary")
+    rows = classes.select("signature").mapInArrow(partial(_short_keys, ranges=ranges), "range long, short binary")
     return bit_table(rows.repartition("range").mapInArrow(repeated, BITS))
 
 
@@ -248,74 +271,82 @@ def _keyed(classes: DataFrame, shared: Broadcast) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "node long, key long")
 
 
-def _print_number(known: bytes) -> int:
-    return int.from_bytes(known[:7], "little")
+def _line_numbers(numbers: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """A number for each place (number of the doc_id, line)."""
+    both = numbers.view(np.uint64) * MULTIPLIER + lines.astype(np.uint64)
+    return (mixed(both) >> np.uint64(8)).astype(np.int64)
 
 
 def _wanted_bits(wanted: DataFrame) -> Broadcast:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from bits_of(np.array([_print_number(p) for p in batch.column("print").to_pylist()], np.int64))
+            yield from bits_of(_line_numbers(batch.column("number").to_numpy(), batch.column("line").to_numpy()))
 
-    return bit_table(wanted.select("print").mapInArrow(run, BITS))
+    return bit_table(wanted.select("number", "line").mapInArrow(run, BITS))
 
 
-def _each_line(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str]]:
-    for batch in parts(batches):
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for at, line in enumerate(lines_of(text)):
-                yield doc_id, at, normal(line)
-
-
-def _signed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with text, once for each batch of them."""
-    for part in _char_batches(x for x in _each_line(batches) if x[2]):
-        seen: dict[bytes, tuple] = {}
-        for doc_id, at, line in part:
-            known = fingerprint(line)
-            order = (doc_id is not None, doc_id or 0, at)
-            if known not in seen or order < seen[known][0]:
-                seen[known] = (order, doc_id, at, line)
-        rows = signatures([x[3] for x in seen.values()])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[1] for x in seen.values()], pa.int64()),
-                pa.array([x[2] for x in seen.values()], pa.int32()),
-                pa.array(list(seen), pa.binary()),
-                pa.array([r.tobytes() for r in rows], pa.binary()),
-            ],
-            names=["doc_id", "line", "print", "signature"],
-        )
+def _placed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line's place and print, none if it is blank; of equal lines of a batch the first by place has the signature."""
 
+    def lines(batch: pa.RecordBatch) -> Iterator[tuple]:
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "number", "text")]
+        for doc_id, number, text in zip(*columns, strict=True):
+            for at, line in enumerate(lines_of(text)):
+                yield doc_id, number, at, normal(line)
 
-def _char_batches(lines: Iterator[tuple[int | None, int, str]]) -> Iterator[list]:
+    kind = None
     part, size = [], 0
-    for line in lines:
-        part.append(line)
-        size += len(line[2])
-        if size >= _CHARS:
-            yield part
-            part, size = [], 0
+    for batch in parts(batches):
+        kind = batch.schema.field("doc_id").type
+        for line in lines(batch):
+            part.append(line)
+            size += len(line[3])
+            if size >= _CHARS or len(part) >= _CHARS:
+                yield _placed_batch(part, kind)
+                part, size = [], 0
     if part:
-        yield part
+        yield _placed_batch(part, kind)
+
+
+def _placed_batch(part: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    prints = [fingerprint(line) if line else None for *_, line in part]
+    first: dict[bytes, int] = {}
+    for k, known in enumerate(prints):
+        if known is not None and (known not in first or _order(part[k]) < _order(part[first[known]])):
+            first[known] = k
+    signed: list[bytes | None] = [None] * len(part)
+    if first:
+        for k, row in zip(first.values(), signatures([part[k][3] for k in first.values()]), strict=True):
+            signed[k] = row.tobytes()
+    doc_ids, numbers, places, _ = zip(*part, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(doc_ids, kind),
+            pa.array(numbers, pa.int64()),
+            pa.array(places, pa.int32()),
+            pa.array(prints, pa.binary()),
+            pa.array(signed, pa.binary()),
+        ],
+        names=["doc_id", "number", "line", "print", "signature"],
+    )
 
 
-def _printed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches):
-        rows = [(d, at, fingerprint(line) if line else None) for d, at, line in _each_line(iter([batch]))]
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())],
-            names=["doc_id", "line", "print"],
-        )
+def _order(line: tuple) -> tuple:
+    doc_id, _, at, _ = line
+    return doc_id is not None, 0 if doc_id is None else doc_id, at
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Lines at the wanted places, and few others."""
     for batch in parts(batches):
-        lines = [line for _, _, line in _each_line(iter([batch])) if line]
-        prints = [fingerprint(line) for line in lines]
-        passed = passes(shared.value, np.array([_print_number(p) for p in prints], np.int64))
-        found = {prints[k]: lines[k] for k in np.flatnonzero(passed)}
+        found: dict[bytes, str] = {}
+        numbers = batch.column("number").to_numpy()
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            lines = lines_of(text)
+            own = _line_numbers(np.repeat(numbers[k : k + 1], len(lines)), np.arange(len(lines)))
+            for at in np.flatnonzero(passes(shared.value, own)):
+                if line := normal(lines[at]):
+                    found[fingerprint(line)] = line
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["found", "text"]
         )

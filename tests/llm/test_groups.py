@@ -232,6 +232,29 @@ def test_odd_lines(spark):
     }
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_lines_of_other_ids(spark, kind):
+    docs = spark.createDataFrame([(7, "a line that is here twice\nown"), (9, "a line that is here twice"), (None, "own ")], DOCS)
+    found = line_classes(docs.selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")).collect()
+    first = int if kind == "int" else str
+    assert sorted(((r.doc_id, r.line, r.first_doc_id, r.first_line, r.kept) for r in found), key=str) == sorted(
+        [(first(7), 0, first(7), 0, True), (first(7), 1, None, 0, False), (first(9), 0, first(7), 0, False), (None, 0, None, 0, True)], key=str
+    )
+
+
+def test_keys_are_passed_on_in_filled_ranges():
+    """Small batches of a task become one, and ranges without keys no row."""
+    rows = line_dedup.signatures([f"line {k} of some that differ" for k in range(30)])
+    batches = [pa.record_batch({"signature": pa.array([r.tobytes()], pa.binary())}) for r in rows]
+    batches.insert(3, batches[0].slice(0, 0))
+    found = pa.Table.from_batches(line_dedup._short_keys(iter(batches), 1 << 16)).to_pylist()
+    keys = np.sort((line_dedup.band_keys([r.tobytes() for r in rows]).ravel() >> np.uint64(32)).astype(np.uint32))
+    assert len(found) == len({int(k) >> 16 for k in keys}) and all(r["short"] for r in found)
+    assert b"".join(r["short"] for r in found) == keys.tobytes()
+    assert all((int(k) >> 16) == r["range"] for r in found for k in np.frombuffer(r["short"], np.uint32))
+    assert list(line_dedup._short_keys(iter([]), 256)) == []
+
+
 @pytest.mark.parametrize("operator", [near_duplicates, drop_near_duplicates, line_classes, deduplicate_lines])
 def test_similarities_that_signatures_would_lose_are_an_error(spark, operator):
     docs = spark.createDataFrame([(1, "a text"), (2, "a text")], DOCS)
