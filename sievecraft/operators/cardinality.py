@@ -43,14 +43,14 @@ def cardinality(
     how = "left" if low <= 0 else "inner"
     carried = {name: name for name in counts}
     if per_copy:
-        rows = attach(copies(df, *df.columns, count="__copies"), spread(per_key), on, how, **carried)
+        rows = attach(copies(df, *df.columns, count="__copies"), per_key, on, how, grouped=hot, **carried)
         totals = {name: F.coalesce(F.col(name) * F.col("__copies"), F.lit(0)) for name in counts}
         return rows.withColumns(totals).drop("__copies").filter(wanted)
     # Made distinct after the join, when few rows are left to shuffle for it.
     if how == "inner":
-        rows = attach(df, spread(per_key.filter(wanted)), on, how, **carried)
+        rows = attach(df, per_key.filter(wanted), on, how, grouped=hot, **carried)
     else:
-        rows = attach(df, spread(per_key), on, how, **carried)
+        rows = attach(df, per_key, on, how, grouped=hot, **carried)
         rows = rows.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in counts}).filter(wanted)
     return spread(rows).distinct()
 
@@ -68,7 +68,7 @@ def at_most_one(
     per_key = details.groupBy(*on.values()).agg(F.min(column).alias("__least"), F.max(column).alias("__greatest"))
     if not none:
         per_key = per_key.filter("__least = __greatest")
-    rows = attach(df, spread(per_key), on, "left" if none else "inner", __least="__least", __greatest="__greatest")
+    rows = attach(df, per_key, on, "left" if none else "inner", grouped=hot, __least="__least", __greatest="__greatest")
     if none:
         rows = rows.filter("__least IS NULL OR __least = __greatest")
     counted = F.when(F.col("__least").isNull(), 0).otherwise(1).cast("bigint")

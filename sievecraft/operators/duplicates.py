@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .references import splittable
+from .bits import bits_of, may_hold
 
 
 def copies(df: DataFrame, *columns: str, count: str = "copies") -> DataFrame:
@@ -34,10 +32,9 @@ def duplicates(
         found = df.groupBy(*named).agg(F.count("*").alias(count))
     else:
         ((text, member),) = members.items()
-        often = df.groupBy(*(column.alias(f"__{name}") for name, column in keys.items())).agg(F.count("*").alias("__often"))
-        same = reduce(and_, [column.eqNullSafe(F.col(f"__{name}")) for name, column in keys.items()])
-        # Only keys that repeat are laid out and put into text.
-        df = df.join(splittable(often.filter("__often > 1")), same, "left_semi")
+        often = df.groupBy(*named).agg(F.count("*").alias("__often")).filter("__often > 1").select(*keys)
+        # Only keys that repeat, and very few others, are laid out and put into text.
+        df = df.filter(may_hold(bits_of(often), *keys.values()))
         found = _with_members(df.select(*named, F.col(member).alias("__member")), list(keys), count, text)
     return found.filter(F.col(count) > 1)
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .references import splittable
+from .references import attach
 
 
 @dataclass(frozen=True)
@@ -50,8 +49,8 @@ def marked(df: DataFrame, on: Mapping[str, str], *tables: Marks, hot: bool = Tru
         branches.append(table.rows.select(*columns).dropna(subset=list(keys.values())))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
     per_key = rows.groupBy(*keys.values()).agg(*aggregates)
-    same = reduce(and_, [F.col(column) == F.col(keys[name]) for column, name in on.items()])
-    return df.join(splittable(per_key) if hot else per_key, same, "left").drop(*keys.values())
+    marks = [name for table in tables for name in table.marks]
+    return attach(df, per_key, {column: keys[name] for column, name in on.items()}, grouped=hot, **{name: name for name in marks})
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .references import attach, splittable
+from .references import attach
 
 
 def stale(
@@ -20,7 +20,7 @@ def stale(
     states that no key occurs often in ``df``, and spares the shuffle for splitting.
     """
     newest = facts.groupBy(*on.values()).agg(F.max(date).alias(last))
-    rows = attach(df, splittable(newest) if hot else newest, on, "left", **{last: last})
+    rows = attach(df, newest, on, "left", grouped=hot, **{last: last})
     return rows.filter(F.col(last).isNull() | (F.col(last) < before))
 
 

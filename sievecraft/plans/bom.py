@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, blank, not_positive
-from ..operators import attach, copies, cycle_members, deeper_than, duplicates, orphans, self_loops, splittable
+from ..operators import attach, copies, cycle_members, deeper_than, duplicates, orphans, rare_orphans, self_loops
 from .constants import DEEPEST_BOM, HAS_BOM, HAS_NO_BOM, MADE, NO
 from .rule import COMPLEXITY, DUPLICATE, INCONSISTENT, INTEGRITY, INVALID, MISSING, Source, TableMap, row_rule, rule
 
 
-def with_parent(rows: DataFrame, items: DataFrame, code: str = "Father", name: str = "ParentName") -> DataFrame:
-    """Rows whose parent is an item, with the parent's name."""
-    return attach(rows, items, {code: "ItemCode"}, "inner", **{name: "ItemName"})
+def with_parent(rows: DataFrame, items: DataFrame, code: str = "Father", grouped: bool = False) -> DataFrame:
+    """Rows whose parent is an item, with the parent's name. ``grouped`` states that the rows are laid out by the parent."""
+    return attach(rows, items, {code: "ItemCode"}, "inner", grouped=grouped, ParentName="ItemName")
 
 
 def with_component(lines: DataFrame, items: DataFrame, **more: str) -> DataFrame:
@@ -56,7 +56,7 @@ row_rule(
 @rule("BOM-02", MISSING, "Bills of materials without components", "OITT ITT1 OITM", "Parent")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
     bare = orphans(t["OITT"], t["ITT1"], {"Code": "Father"})
-    return with_parent(splittable(bare), t["OITM"], "Code").select(F.col("Code").alias("Parent"), "ParentName", "TreeType")
+    return with_parent(bare, t["OITM"], "Code", grouped=True).select(F.col("Code").alias("Parent"), "ParentName", "TreeType")
 
 
 row_rule(
@@ -135,14 +135,14 @@ row_rule(
 
 @rule("BOM-13", INTEGRITY, "Lines of bills of materials that do not exist", "ITT1 OITM OITT", "ParentInexistant Component")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return with_component(orphans(t["ITT1"], t["OITT"], {"Father": "Code"}), t["OITM"]).select(
+    return with_component(rare_orphans(t["ITT1"], t["OITT"], {"Father": "Code"}), t["OITM"]).select(
         F.col("Father").alias("ParentInexistant"), F.col("Code").alias("Component"), "ComponentName", "Quantity"
     )
 
 
 @rule("BOM-14", INTEGRITY, "Components that are not items", "ITT1 OITM", "Parent ComponentInexistant")
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    return with_parent(orphans(t["ITT1"], t["OITM"], {"Code": "ItemCode"}), t["OITM"]).select(
+    return with_parent(rare_orphans(t["ITT1"], t["OITM"], {"Code": "ItemCode"}), t["OITM"]).select(
         F.col("Father").alias("Parent"), "ParentName", F.col("Code").alias("ComponentInexistant"), "Quantity"
     )
 
@@ -156,7 +156,7 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     made = attach(
         t["OITM"].filter(F.col("PrcrmntMtd") == MADE), t["OITT"], {"ItemCode": "Code"}, "left", Header="Code"
     ).withColumn("A_SousBOM", F.when(F.col("Header").isNotNull(), HAS_BOM).otherwise(HAS_NO_BOM))
-    lines = with_component(t["ITT1"], splittable(made), ComponentProcurement="PrcrmntMtd", A_SousBOM="A_SousBOM")
+    lines = with_component(t["ITT1"], made, grouped=True, ComponentProcurement="PrcrmntMtd", A_SousBOM="A_SousBOM")
     return with_parent(lines, t["OITM"]).select(
         F.col("Father").alias("Parent"), "ParentName", F.col("Code").alias("Component"), "ComponentName",
         "ComponentProcurement", "Quantity", "A_SousBOM",
@@ -172,5 +172,5 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
 
 @rule("BOM-15-depth", COMPLEXITY, "Bills of materials of more than five levels", "ITT1 OITM", "Parent", variant=True)
 def _(t: TableMap, as_of: AsOf) -> DataFrame:
-    deep = splittable(deeper_than(t["ITT1"], "Father", "Code", DEEPEST_BOM))
-    return with_parent(deep, t["OITM"], "node").select(F.col("node").alias("Parent"), "ParentName")
+    deep = deeper_than(t["ITT1"], "Father", "Code", DEEPEST_BOM)
+    return with_parent(deep, t["OITM"], "node", grouped=True).select(F.col("node").alias("Parent"), "ParentName")

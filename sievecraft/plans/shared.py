@@ -81,11 +81,11 @@ def codes(t: TableMap) -> DataFrame:
 def lines_with_codes(t: TableMap) -> DataFrame:
     """Lines with what is known about the code of their component and that of their parent."""
     lines = attach(
-        t["ITT1"], splittable(codes(t)), {"Code": "Code"}, ItemCode="ItemCode", ComponentName="ItemName", validFor="validFor",
+        t["ITT1"], codes(t), {"Code": "Code"}, grouped=True, ItemCode="ItemCode", ComponentName="ItemName", validFor="validFor",
         InvntryUom="InvntryUom", ComponentProcurement="PrcrmntMtd", Headers="Headers",
     )
     return attach(
-        lines, splittable(codes(t)), {"Father": "Code"},
+        lines, codes(t), {"Father": "Code"}, grouped=True,
         ParentItem="ItemCode", ParentName="ItemName", ParentFirst="First", ParentHeaders="Headers",
     )
 
@@ -202,7 +202,7 @@ def places(t: TableMap) -> DataFrame:
     size = F.coalesce(F.col("InQty").cast("decimal(21,6)"), F.lit(-2 * 10**13).cast("decimal(21,6)"))
     order = F.when(counted, day * F.lit(10**15).cast("decimal(16,0)") + size)
     bins = t["OBIN"].groupBy("AbsEntry").agg(F.bool_and(~blank("BinCode")).alias("Coded"))
-    stored = attach(t["OIBQ"], splittable(bins), {"BinAbs": "AbsEntry"}, Coded="Coded")
+    stored = attach(t["OIBQ"], bins, {"BinAbs": "AbsEntry"}, grouped=True, Coded="Coded")
     on = {"item": "ItemCode", "warehouse": "Warehouse"}
     stock = marked(
         t["OITW"], {"ItemCode": "item", "WhsCode": "warehouse"},

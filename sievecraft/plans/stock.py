@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import AsOf, blank, days_before, days_since, difference, label, or_zero, percentage, rounded_product
-from ..operators import attach, compare, latest, orphans, splittable, stale
+from ..operators import attach, compare, latest, orphans, stale
 from .constants import IDLE_STOCK_DAYS, MOVEMENT_TYPES, NEVER_MOVED, OTHER_MOVEMENT, RECENT_DAYS, STOCK_COUNT, YES
 from .items import WAREHOUSE_STOCK, newest_movements
 from .rule import INCONSISTENT, MISSING, TableMap, row_rule, rule
@@ -33,8 +33,8 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
         counts, ["ItemCode", "Warehouse"], [F.col("DocDate").desc_nulls_last(), F.col("InQty").desc_nulls_last()]
     )
     stock = attach(
-        t["OITW"].filter(F.col("OnHand").isNotNull()), splittable(newest),
-        {"ItemCode": "ItemCode", "WhsCode": "Warehouse"}, Counted="InQty",
+        t["OITW"].filter(F.col("OnHand").isNotNull()), newest,
+        {"ItemCode": "ItemCode", "WhsCode": "Warehouse"}, grouped=True, Counted="InQty",
     ).withColumn("DernierInventaire", or_zero("Counted"))
     return named(
         compare(stock, F.col("OnHand") != F.col("DernierInventaire"), Ecart=difference("OnHand", "DernierInventaire")),
@@ -55,14 +55,14 @@ def _(t: TableMap, as_of: AsOf) -> DataFrame:
     # before they meet, so equal rows are not paired with each other.
     bins = t["OBIN"].groupBy("AbsEntry").agg(F.bool_and(~blank("BinCode")).alias("coded"))
     placed = (
-        attach(t["OIBQ"], splittable(bins), {"BinAbs": "AbsEntry"}, coded="coded")
+        attach(t["OIBQ"], bins, {"BinAbs": "AbsEntry"}, grouped=True, coded="coded")
         .groupBy("ItemCode", "WhsCode")
         .agg(F.bool_and(F.coalesce("coded", F.lit(False))).alias("located"))
         .filter("located")
     )
     loose = orphans(stock_in_hand(t), placed, {"ItemCode": "ItemCode", "WhsCode": "WhsCode"}, hot=False)
-    items = active_items(t).select("ItemCode", "ItemName").distinct()
-    return named(loose.distinct(), items).select("ItemCode", "ItemName", "WhsCode", "OnHand")
+    # Made distinct again after the join, which needs no shuffle then: items meet few rows.
+    return named(loose.distinct(), active_items(t)).select("ItemCode", "ItemName", "WhsCode", "OnHand").distinct()
 
 
 @rule(

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sievecraft.operators import hierarchy
 from sievecraft.operators import (
-    attach, cardinality, compare, copies, cycle_members, deeper_than, duplicates, in_order, latest, missing, orphans,
-    self_loops, stale, status_conflict,
+    attach, bits_of, cardinality, compare, copies, cycle_members, deeper_than, duplicates, in_order, latest, may_hold, missing, orphans,
+    rare_orphans, self_loops, stale, status_conflict,
 )
 
 
@@ -245,3 +245,39 @@ def test_deeper_than(spark, graphs, levels):
     df = spark.createDataFrame(graphs, "p string, c string")
     expected = sorted({a for a, _ in graphs if depth_over(graphs, a, levels)})
     assert [node for (node,) in rows(deeper_than(df, "p", "c", levels))] == expected
+
+
+def test_table_of_bits(spark):
+    keys = spark.createDataFrame([("a", 1), (None, 2), ("b", None), ("a", 1)], "k string, n int")
+    rows_ = spark.createDataFrame([("a", 1), ("a", 2), (None, 2), ("b", None), (None, None), ("c", 7)], "k string, n int")
+    assert rows(rows_.filter(may_hold(bits_of(keys), "k", "n"))) == [("a", 1), ("b", None), (None, 2)]
+    assert rows(rows_.filter(may_hold(bits_of(keys.limit(0)), "k", "n"))) == []
+
+
+def test_a_full_table_of_bits_loses_nothing(spark):
+    keys = spark.range(400_000)
+    assert keys.filter(may_hold(bits_of(keys), "id")).count() == 400_000
+    others = spark.range(400_000, 800_000).filter(may_hold(bits_of(keys), "id")).count()
+    assert 80_000 < others < 160_000
+
+
+@pytest.mark.parametrize("how", [orphans, rare_orphans])
+def test_orphans_by_rows_and_by_keys(spark, how):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 1, 2), (None, 1, 3), ("b", None, 4), ("a", 2, 1)], "x string, y int, v int")
+    ref = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), ("b", None)], "x string, z int")
+    on = {"x": "x", "y": "z"}
+    assert rows(how(df, ref, on)) == [("a", 2, 1), ("a", 2, 1), ("b", 1, 2), ("b", None, 4), (None, 1, 3)]
+    assert rows(how(df, ref.limit(0), on)) == rows(df)
+    assert rows(how(df.limit(0), ref, on)) == []
+    # Nothing is lost where key types differ.
+    assert rows(how(df, ref.withColumn("z", F.col("z").cast("bigint")), on)) == rows(how(df, ref, on))
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "bigint", "date", "decimal(9,2)", "double", "binary"])
+def test_attach_to_grouped_rows_of_any_type(spark, kind):
+    value = "date_add(DATE'2001-01-01', CAST(id % 5 AS int))" if kind == "date" else f"CAST(CAST(id % 5 AS string) AS {kind})"
+    df = spark.range(20).select(F.expr(value).alias("k"), "id")
+    totals = df.where("id % 5 < 4").groupBy("k").count()
+    found = attach(df, totals, {"k": "k"}, grouped=True, n="count")
+    assert found.columns == ["k", "id", "n"]
+    assert [row.n for row in found.orderBy("id").collect()] == [4, 4, 4, 4, None] * 4
