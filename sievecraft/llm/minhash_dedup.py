@@ -83,7 +83,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; none may be called ``__own`` or ``__own_hash``."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; none may be called ``__own`` or ``__own_hash``.
+
+    Of a group the rows of one doc_id stay. Rows that repeat that doc_id with texts of equal sets are one document and stay together, and
+    so do the rows of a group without any doc_id. Null texts and texts without words stay. An empty table gives no rows.
+    """
     dropped = near_duplicates(docs, width, percent).where("NOT kept").select(
         F.col("doc_id").alias("__own"), F.col("text_hash").alias("__own_hash")
     )
