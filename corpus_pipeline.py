@@ -24,7 +24,8 @@ END_ID = 2
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets ``lang`` to the predicted language; documents without a letter or far from all languages go.
 
-    Languages are learned from the labelled documents that are not held out.
+    Languages are learned from the labelled documents that are not held out; without any, all documents go.
+    Null and empty texts have no letter. Repeated rows are judged alike, and all other columns stay.
     """
     prepare(spark)
     judged = predict(docs, fit(docs.where(~held_out())))
@@ -33,13 +34,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
+
+    Rows that repeat that doc_id with an equal text are one document and stay together. Rows without a doc_id go if their group has one.
+    """
     prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of ``benchmark`` go."""
+    """Documents with a passage of ``benchmark`` go. Null texts, and all documents if it has no words, stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
