@@ -28,14 +28,21 @@ def one_or_none(lowest: str, highest: str) -> Column:
 
 
 def items_with_facts(t: TableMap) -> DataFrame:
-    """Items with what headers, prices, order lines, supplier lists and movements say about them."""
-    return marked(
+    """Items with what headers, prices, order lines, supplier lists and movements say about them.
+
+    Texts are compared in an aggregate of their own, which sorts; the others combine by hash.
+    """
+    items = marked(
         t["OITM"], {"ItemCode": "item"},
         Marks(t["OITT"], {"item": "Code"}, {"HasHeader": found()}),
         Marks(t["ITM1"], {"item": "ItemCode"}, {"HasPrice": found()}),
+        Marks(t["OINM"], {"item": "ItemCode"}, {"LastMoved": (F.max, [F.col("DocDate")])}),
+        hot=False,
+    )
+    return marked(
+        items, {"ItemCode": "item"},
         Marks(t["POR1"], {"item": "ItemCode"}, {"FirstOrdered": (F.min, [F.col("CardCode")]), "LastOrdered": (F.max, [F.col("CardCode")])}),
         Marks(listed_suppliers(t), {"item": "ItemCode"}, {"FirstListed": (F.min, [F.col("CardCode")]), "LastListed": (F.max, [F.col("CardCode")])}),
-        Marks(t["OINM"], {"item": "ItemCode"}, {"LastMoved": (F.max, [F.col("DocDate")])}),
         hot=False,
     )
 
@@ -198,18 +205,22 @@ def places(t: TableMap) -> DataFrame:
     """Stock of items by warehouse with its newest movement, its newest count, and whether all its bins have a code."""
     counted = F.col("TransType") == STOCK_COUNT
     # Newest day first, the larger quantity within a day; a NULL comes last. The order is a number, which combines by hash.
+    # The quantity is what it leaves beside whole days; read there only, it is worked out for counts alone.
+    none = F.lit(-2 * 10**13).cast("decimal(21,6)")
+    a_day, half = F.lit(10**15).cast("decimal(16,0)"), F.lit(5 * 10**14).cast("decimal(16,0)")
     day = F.coalesce(F.unix_date("DocDate").cast("decimal(8,0)"), F.lit(-9_999_999).cast("decimal(8,0)"))
-    size = F.coalesce(F.col("InQty").cast("decimal(21,6)"), F.lit(-2 * 10**13).cast("decimal(21,6)"))
-    order = F.when(counted, day * F.lit(10**15).cast("decimal(16,0)") + size)
+    order = F.when(counted, day * a_day + F.coalesce(F.col("InQty").cast("decimal(21,6)"), none))
+    size = (F.pmod(F.col("LastCount") + half, a_day) - half).cast("decimal(21,6)")
+    quantity = F.when(size != none, size).cast(t["OINM"].schema["InQty"].dataType)
     bins = t["OBIN"].groupBy("AbsEntry").agg(F.bool_and(~blank("BinCode")).alias("Coded"))
     stored = attach(t["OIBQ"], bins, {"BinAbs": "AbsEntry"}, grouped=True, Coded="Coded")
     on = {"item": "ItemCode", "warehouse": "Warehouse"}
     stock = marked(
         t["OITW"], {"ItemCode": "item", "WhsCode": "warehouse"},
-        Marks(t["OINM"], on, {"Moved": (F.max, [F.col("DocDate")]), "Counted": (F.max_by, [F.col("InQty"), order])}),
+        Marks(t["OINM"], on, {"Moved": (F.max, [F.col("DocDate")]), "LastCount": (F.max, [order])}),
         Marks(stored, {**on, "warehouse": "WhsCode"}, {"Located": (F.bool_and, [F.coalesce("Coded", F.lit(False))])}),
         hot=False,
-    )
+    ).withColumn("Counted", quantity)
     return attach(stock, t["OITM"], {"ItemCode": "ItemCode"}, "inner", ItemName="ItemName", validFor="validFor", AvgPrice="AvgPrice")
 
 

@@ -247,6 +247,7 @@ class DerivedTables(Mapping[str, DataFrame]):
         self._spark = spark
         self._folder = folder
         self._built: dict[str, DataFrame] = {}
+        self._tasks: dict[str, int] = {}
 
     def __iter__(self) -> Iterator[str]:
         return iter(COLUMNS)
@@ -266,14 +267,26 @@ class DerivedTables(Mapping[str, DataFrame]):
     def _given(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def _spread(self, name: str, key: str) -> DataFrame:
+        """A given table with a task for every core, where its files are more than one task's and fewer than that.
+
+        Files are cut by their bytes. Few bytes hold many rows here, of which several are made each, and a row group is one
+        task's, so that some tasks would do the work of all.
+        """
+        rows = self._given(name)
+        if name not in self._tasks:
+            self._tasks[name] = rows.rdd.getNumPartitions()
+        cores = self._spark.sparkContext.defaultParallelism
+        return rows.repartition(cores, key) if 1 < self._tasks[name] < cores else rows
+
     def _parts(self) -> DataFrame:
-        return self._given("part").withColumn("k", F.col("p_partkey"))
+        return self._spread("part", "p_partkey").withColumn("k", F.col("p_partkey"))
 
     def _partners(self) -> DataFrame:
-        suppliers = self._given("supplier").selectExpr(
+        suppliers = self._spread("supplier", "s_suppkey").selectExpr(
             "s_suppkey AS k", "'S' AS t", "s_acctbal AS bal", "s_nationkey AS nk", "s_name AS nm"
         )
-        customers = self._given("customer").selectExpr(
+        customers = self._spread("customer", "c_custkey").selectExpr(
             "c_custkey AS k", "'C' AS t", "c_acctbal AS bal", "c_nationkey AS nk", "c_name AS nm"
         )
         return suppliers.unionByName(customers)

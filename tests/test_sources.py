@@ -58,3 +58,18 @@ def test_checks_run_from_views(spark):
     tables = from_database(spark)
     assert "not_declared" not in tables["OITM"].columns
     assert sievecraft.check("BOM-03", tables, AS_OF).count() == 239
+
+
+def test_few_files_of_many_rows_are_spread(spark):
+    """A scan of two uneven tasks would make the derived rows in two; one of a single task is left alone."""
+    folder = tempfile.mkdtemp(prefix="run-")
+    given = spark.read.parquet(str(TESTDATA / "sf0.01" / "part.parquet"))
+    uneven = given.repartitionByRange(2, F.col("p_partkey") < 100)
+    uneven.write.parquet(f"{folder}/part.parquet")
+    for name in ("OITM", "OITW", "ITT1"):
+        tables, plain = DerivedTables(spark, folder), DerivedTables(spark, str(TESTDATA / "sf0.01"))
+        sizes = tables[name].groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == spark.sparkContext.defaultParallelism
+        assert max(row["count"] for row in sizes) < plain[name].count() / 4
+        assert tables[name].exceptAll(plain[name]).isEmpty() and plain[name].exceptAll(tables[name]).isEmpty()
+    assert plain["OITM"].rdd.getNumPartitions() == 1
